@@ -29,7 +29,7 @@ BLANK = r"[\x20\x09-\x0D]+"
 #: Copies of one text that a task compares; larger groups are salted.
 COPIES = 2000
 #: Input of one micro-batch.
-BATCH_BYTES = "64g"
+BATCH_BYTES = str(64 << 30)
 
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
