@@ -1,9 +1,15 @@
 """The corpus queries, one for each operator, and their SQL."""
 
+from codegauge.llm.byte_bpe import op8_byte_bpe
 from codegauge.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from codegauge.llm.language_id import op9_language_id
+from codegauge.llm.token_counts import op3_token_counts
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_token_counts": op3_token_counts,
+    "op8_byte_bpe": op8_byte_bpe,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLE = {
