@@ -3,15 +3,22 @@
 from codegauge.llm.byte_bpe import op8_byte_bpe
 from codegauge.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from codegauge.llm.language_id import op9_language_id
+from codegauge.llm.near_dedup import op4_near_dedup
+from codegauge.llm.packing import op10_packing
 from codegauge.llm.token_counts import op3_token_counts
+from codegauge.llm.topk import OP1_SQL, op1_exact_topk
 
 QUERIES = {
+    "op1_exact_topk": op1_exact_topk,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_token_counts": op3_token_counts,
+    "op4_near_dedup": op4_near_dedup,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_language_id": op9_language_id,
+    "op10_packing": op10_packing,
 }
 
 ORACLE = {
+    "op1_exact_topk": OP1_SQL,
     "op2_exact_dedup": OP2_SQL,
 }
