@@ -5,6 +5,8 @@ from codegauge.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from codegauge.llm.language_id import op9_language_id
 from codegauge.llm.near_dedup import op4_near_dedup
 from codegauge.llm.packing import op10_packing
+from codegauge.llm.quality import op5_quality
+from codegauge.llm.secret_scan import op7_secret_scan
 from codegauge.llm.token_counts import op3_token_counts
 from codegauge.llm.topk import OP1_SQL, op1_exact_topk
 
@@ -13,6 +15,8 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_near_dedup": op4_near_dedup,
+    "op5_quality": op5_quality,
+    "op7_secret_scan": op7_secret_scan,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
