@@ -5,8 +5,8 @@
 2. In each band bucket the members are paired with the smallest one (a star, not all pairs). Pairs that pass the sizes and
    the signatures are confirmed on the full sets, which are made again from the texts of these documents only.
 3. Components of the links, by large-star and small-star. Then, in buckets that still hold several components, the
-   members of different components are compared in blocks by their signatures; what is left is confirmed in the same
-   way. So each pair that shares a bucket is either connected already or has been compared.
+   members of different components are compared in blocks, by signatures and then by full sets, and only links leave a
+   block. So each pair that shares a bucket is either connected already or has been compared.
 
 With 36 bands of 5 minima, two sets of similarity 0.8 share no bucket with probability 6e-7, and pass the signature
 threshold but for 3e-7; more similar ones are missed still more rarely.
@@ -38,8 +38,8 @@ WORDS, PERCENT = 5, 80
 BANDS, ROWS = 36, 5
 #: Minima of a signature that agree at least (five standard deviations below 0.8).
 AGREE = 0.65
-#: Members of a bucket that form a block when components are compared.
-BLOCK = 512
+#: Members of a bucket, and shingles of theirs, that form a block when components are compared.
+BLOCK, BLOCK_SHINGLES = 512, 400_000
 
 _SEEDS = np.random.default_rng(7).integers(0, 2**32, (2, BANDS * ROWS), np.uint64).astype(np.uint32)
 _A, _B = _SEEDS[0] | np.uint32(1), _SEEDS[1]
@@ -57,6 +57,11 @@ def shingle_sets(rows: list[bytes], k: int) -> list[np.ndarray]:
     return out
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def minima(sets: list[np.ndarray]) -> np.ndarray:
     """A row of minima for each set, none of which is empty."""
     at = np.zeros(len(sets), np.int64)
@@ -127,41 +132,52 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
             ok = []
             for i, j in vt.chunks([len(x) + len(y) for x, y in zip(us, vs, strict=True)]):
                 for x, y in zip(shingle_sets(us[i:j], k), shingle_sets(vs[i:j], k), strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+                    ok.append(similar(x, y, percent))
             yield b.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     return pairs.mapInArrow(run, "u long, v long").distinct()
 
 
-def _across(members: DataFrame, comp: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs of one bucket and of different components whose signatures agree, found block by block.
+def _across(members: DataFrame, comp: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (u, v) between members of one bucket that belong to different components, confirmed block by block.
 
-    A bucket's members are dealt to blocks; each pair of blocks is one group of bounded size, and only pairs that pass leave it.
+    A bucket's members are dealt to blocks by number and by size; each pair of blocks is one group of bounded memory that
+    holds the members' texts. A pair is compared in the first bucket it shares, by sizes and signatures and then by full sets,
+    and not at all once links found in the group connect its components. So only links leave a group, never candidates.
     """
     seen = members.where("size > 2").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
     seen = seen.withColumn("component", F.coalesce("component", "rep"))
-    mixed = seen.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo != hi and m > 2")
-    seen = seen.join(mixed.select("h", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "h")
-    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    seen = seen.withColumn("mine", mine).join(reps.select(F.col("doc_id").alias("rep"), "n", "sig"), "rep")
+    mixed = seen.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).where("lo != hi")
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
+    seen = seen.join(mixed.select("h", blocks.alias("blocks")), "h").select("h", "band", "rep", "component", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("mine"))
+    rows = maybe_in(docs.select(F.col("doc_id").cast("long"), "text"), ["doc_id"], bitmap_of(seen.select(F.col("rep").alias("doc_id")), ["doc_id"])).where("_bm_hit")
+    full = rows.select("doc_id", "text").join(reps.select("doc_id", "bands", "sig"), "doc_id").withColumnRenamed("doc_id", "rep")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = seen.select("h", "rep", "c", "component", "n", "sig", "mine", other.alias("with"))
-    dealt = dealt.select("h", F.least("mine", "with").alias("a"), F.greatest("mine", "with").alias("b"), "mine", "rep", "c", "component", "n", "sig")
+    dealt = seen.join(full, "rep").select("h", "band", "rep", "component", "mine", other.alias("with"), "bands", "sig", "text")
+    dealt = dealt.withColumns({"a": F.least("mine", "with"), "b": F.greatest("mine", "with")}).drop("with")
 
     def run(table: pa.Table) -> pa.Table:
-        rep, comp, n, mine = (table.column(c).to_numpy() for c in ("rep", "component", "n", "mine"))
+        rep, comp, mine = (table.column(c).to_numpy() for c in ("rep", "component", "mine"))
+        band = table.column("band")[0].as_py()
+        bands = np.array(table.column("bands").to_pylist(), np.int64)
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+        sets = shingle_sets([(t or "").encode() for t in table.column("text").to_pylist()], k)
+        size = np.array([len(x) for x in sets])
         same = table.column("a")[0].as_py() == table.column("b")[0].as_py()
+        _, group = np.unique(comp, return_inverse=True)  # merged as links are found
         us, vs = [], []
-        for i in range(len(rep)):
+        for i in range(len(rep) - 1):
             rest = np.arange(i + 1, len(rep))
-            rest = rest[comp[rest] != comp[i]]
             if not same:
                 rest = rest[mine[rest] != mine[i]]
+            rest = rest[(group[rest] != group[i]) & (100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i]))]
             rest = rest[(sig[rest] == sig[i]).sum(1) >= AGREE * BANDS * ROWS]
-            us += [max(rep[i], r) for r in rep[rest]]
-            vs += [min(rep[i], r) for r in rep[rest]]
+            rest = rest[(bands[rest] == bands[i]).argmax(1) == band]
+            for r in rest:
+                if group[r] != group[i] and similar(sets[i], sets[r], percent):
+                    us.append(max(rep[i], rep[r]))
+                    vs.append(min(rep[i], rep[r]))
+                    group[group == group[r]] = group[i]
         return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
     return dealt.groupBy("h", "a", "b").applyInArrow(run, "u long, v long").where("u != v").distinct()
@@ -178,30 +194,22 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     reps = written(known.join(least.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"]).dropDuplicates(["digest", "doc_id"]).select("doc_id", "n", "bands", "sig"), "near-reps")
     remove(spark, sets.at)
 
-    bands = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("h"))
+    bands = reps.select(F.col("doc_id").alias("rep"), "n", F.posexplode("bands").alias("band", "h"))
     stars = bands.groupBy("h").agg(F.min("rep").alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = written(bands.join(stars, "h").select("h", "rep", "c", "size"), "near-members")
+    members = written(bands.join(stars, "h").select("h", "band", "rep", "n", "c", "size"), "near-members")
     pairs = members.where("rep != c").select(F.col("rep").alias("u"), F.col("c").alias("v")).distinct()
     pairs = written(_signed(pairs, reps, percent), "near-pairs")
     links = written(_confirmed(pairs, docs, k, percent), "near-links")
     comp = written(components(links), "near-components")
 
-    more = _across(members, comp, reps).join(pairs, ["u", "v"], "left_anti")
-    more = written(_sized(more, reps, percent), "near-pairs")
+    more = written(_across(members, comp, reps, docs, k, percent), "near-links")
     if not more.isEmpty():
-        links = links.unionByName(written(_confirmed(more, docs, k, percent), "near-links"))
-        comp = written(components(links), "near-components")
+        comp = written(components(links.unionByName(more)), "near-components")
     out = rows.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
     # rows of one doc_id may have different texts: they are one document
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _sized(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    for c in ("u", "v"):
-        pairs = pairs.join(reps.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}")), c)
-    return pairs.where(F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent).select("u", "v").distinct()
-
-
 def keep_one(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs with one document of each group of near duplicates, that of the smallest doc_id."""
     gone = near_duplicates(docs, k, percent).where("NOT kept").select("doc_id")
