@@ -8,7 +8,7 @@
    score; the last one is cut to fit and its rest is the next seed. Without scoring neighbours the next documents in order
    follow. So all windows of a shard are full but the last, which is cut into sequences of powers of two, without padding.
 
-Tokens don't reach over white space in this vocabulary's pre-tokenisation, so distinct words are encoded once for each task,
+Tokens don't reach over white space in this vocabulary's pre-tokenisation, so distinct words are encoded once by each worker,
 in batches, and kept in a cache of bounded size; the ids equal those of the whole text.
 
 Nulls and odd input: a null text is empty and has the end id only; a null doc_id is passed on; repeated rows are packed each;
@@ -17,7 +17,9 @@ equal scores go to the smaller (doc_id, start); an empty table gives an empty re
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -38,39 +40,70 @@ WINDOW = 2048
 SHARD_TOKENS = 1 << 20
 #: BM25's parameters.
 K1, B = 1.2, 0.75
-#: Distinct words that a worker keeps, and characters of a word that is kept.
-CACHE, LONG = 200_000, 64
+#: Distinct words that a worker keeps (and twice as many cuts), and characters of a word that is kept.
+CACHE, LONG = 400_000, 64
 #: Sequences of whole windows are numbered from here; a shard's from shard * 2^32.
 WHOLE = 1 << 62
 
 
 class Words(dict):
-    """Ids, as bytes, of words between spaces."""
+    """Ids, as bytes, of words between spaces.
+
+    New words of plain Latin characters are cut further as the vocabulary's own pattern does, and the distinct cuts are encoded
+    many at once: a token that ends a cut is marked as such in the vocabulary. Other words go to the library one by one.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        spec = json.load(open(path, encoding="utf-8"))
+        suffix, kinds = spec["model"].get("end_of_word_suffix"), [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        first = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        self.cut = None
+        if suffix and kinds == ["NFC", "Replace", "Lowercase"] and first.get("type") == "Split" and first["behavior"] == "Removed" and first["invert"]:
+            self.cut = regex.compile(first["pattern"]["Regex"]).findall
+            self.ends = np.zeros(self.size, bool)
+            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+        self.plain = re.compile("[!-~\u00a1-\u012f]+").fullmatch
+        self.parts: dict[str, bytes] = {}
 
     def encode(self, rows: list[str]) -> list[bytes]:
         """The ids of each text."""
         cut = [t.replace("\n", " ").split(" ") for t in rows]
-        new = list(set(chain.from_iterable(cut)).difference(self))
+        new = set(chain.from_iterable(cut)).difference(self)
         if len(self) + len(new) > CACHE:
             self.clear()
-            new = list(set(chain.from_iterable(cut)))
-        got = dict(zip(new, (np.array(e.ids, self.kind).tobytes() for e in self.batch(new, add_special_tokens=False)), strict=True))
-        self.update(got)
+            new = set(chain.from_iterable(cut))
+        self._learn(new)
         out = [b"".join(map(self.__getitem__, words)) for words in cut]
-        for w in got:
+        for w in new:
             if len(w) > LONG:
                 del self[w]
         return out
 
+    def _learn(self, new: set[str]) -> None:
+        plain = {w: self.cut(w.lower()) for w in new if self.plain(w) and "<|" not in w} if self.cut else {}
+        parts = list(set(chain.from_iterable(plain.values())).difference(self.parts))
+        for i in range(0, len(parts), 1000):
+            some = parts[i : i + 1000]
+            ids = np.array(self.batch([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
+            at, raw = [0, *((np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize).tolist()], ids.tobytes()
+            if len(at) != len(some) + 1:
+                raise ValueError("the vocabulary doesn't mark the ends of words")
+            self.parts.update(zip(some, map(raw.__getitem__, map(slice, at, at[1:])), strict=True))
+        part = self.parts.__getitem__
+        self.update((w, b"".join(map(part, x))) for w, x in plain.items())
+        if len(self.parts) > 2 * CACHE:
+            self.parts.clear()
+        rest = [w for w in new if w not in plain]
+        self.update(zip(rest, (np.array(e.ids, self.kind).tobytes() for e in self.batch(rest, add_special_tokens=False)), strict=True))
+
 
 @lru_cache(maxsize=2)
 def words(path: str) -> Words:
@@ -100,7 +133,9 @@ def frequencies(tokens: DataFrame, size: int, kind: str) -> np.ndarray:
         df = np.zeros(size, np.int64)
         for b in batches:
             for x in b.column("ids").to_pylist():
-                df[np.unique(np.frombuffer(x, kind))] += 1
+                seen = np.zeros(size, bool)
+                seen[np.frombuffer(x, kind)] = True
+                df += seen
         at = np.flatnonzero(df)
         yield pa.record_batch({"id": pa.array(at, pa.int64()), "df": pa.array(df[at], pa.int64())})
 
