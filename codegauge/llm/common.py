@@ -80,14 +80,15 @@ def maybe_in(df: DataFrame, keys: list, bitmap: DataFrame, bits: int = BITMAP_BI
     return j.withColumn("_bm_hit", F.coalesce(hit, F.lit(False))).drop("_bm_p", "_bm_bucket", "_bm_bits")
 
 
-def only_keys(df: DataFrame, keys: list[str], wanted: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
-    """Rows of df whose keys are in wanted (unique keys not needed); rows that surely aren't in it are not shuffled."""
-    return maybe_in(df, keys, bitmap_of(wanted, keys, bits), bits).where("_bm_hit").drop("_bm_hit").join(wanted.select(*keys), keys, "left_semi")
-
-
 def except_keys(df: DataFrame, keys: list[str], dropped: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
-    """Rows of df whose keys are not in dropped; rows that surely aren't in it are not shuffled."""
-    seen = maybe_in(df, keys, bitmap_of(dropped, keys, bits), bits)
-    sure = seen.where(~F.col("_bm_hit")).drop("_bm_hit")
-    rest = seen.where("_bm_hit").drop("_bm_hit").join(dropped.select(*keys), keys, "left_anti")
-    return sure.select(*df.columns).unionByName(rest.select(*df.columns))
+    """Rows of df whose keys are not in dropped; rows that surely aren't in it are not shuffled. Null keys are in nothing.
+
+    The rows travel as one struct, so their columns' names can't clash with those used here.
+    """
+    names = [f"_k{i}" for i in range(len(keys))]
+    rows = df.select(F.struct("*").alias("_all"), *(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)))
+    gone = dropped.select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)))
+    seen = maybe_in(rows, names, bitmap_of(gone, names, bits), bits)
+    sure = seen.where(~F.col("_bm_hit")).select("_all")
+    rest = seen.where("_bm_hit").join(gone, names, "left_anti").select("_all")
+    return sure.unionByName(rest).select("_all.*")

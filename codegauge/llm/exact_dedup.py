@@ -19,7 +19,7 @@ from __future__ import annotations
 from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codegauge.llm.common import bitmap_of, except_keys, maybe_in, read_table, scratch, written
@@ -52,15 +52,19 @@ def _settings(spark: SparkSession, wanted: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """docs with its rows' locators `_file` and `_row`; rows that come from no file are written first."""
+def in_files(docs: DataFrame) -> DataFrame:
+    """docs, whose rows have locators if they come straight from files; others are written first."""
     try:
-        meta = docs.metadataColumn("_metadata")
-        out = docs.select("*", meta["file_path"].alias("_file"), meta["row_index"].alias("_row"))
-        out.schema  # noqa: B018  resolves now
-        return out
+        docs.select(docs.metadataColumn("_metadata")["row_index"]).schema  # noqa: B018  resolves now
+        return docs
     except AnalysisException:
-        return located(written(docs, "docs"))
+        return written(docs, "docs")
+
+
+def located(docs: DataFrame, *columns: Column | str) -> DataFrame:
+    """columns of docs and its rows' locators `_file` and `_row`. docs: of `in_files`."""
+    meta = docs.metadataColumn("_metadata")
+    return docs.select(*columns, meta["file_path"].alias("_file"), meta["row_index"].alias("_row"))
 
 
 def normalised(text="text"):
@@ -92,12 +96,15 @@ def groups(docs: DataFrame, digest_chars: int = 64) -> DataFrame:
     digest_chars: hex digits of SHA-256 that form the key; fewer make collisions, for tests.
     """
     spark = docs.sparkSession
-    rows = located(docs.select("doc_id", "text"))
+    rows = located(in_files(docs), "doc_id", "text")
     sha = F.sha2(normalised(), 256)
     digests = written(
         rows.select("doc_id", "_file", "_row", F.length(F.coalesce("text", F.lit(""))).alias("n"), sha.alias("sha")).withColumn("digest", F.substring("sha", 1, digest_chars)),
         "dedup-digests",
     )
+    if digests.isEmpty():
+        empty = F.lit(None).cast(f"struct<n:int,no_id:boolean,doc_id:{digests.schema['doc_id'].dataType.simpleString()},_file:string,_row:bigint>")
+        return _result(digests.withColumns({"best": empty, "size": F.lit(0).cast("long")}))
     state = digest_stream(spark, digests)
     labelled = written(digests.join(state, "digest"), "dedup-rows")
     bad = written(_differing(rows, labelled), "dedup-collisions")
@@ -129,9 +136,10 @@ def _differing(rows: DataFrame, labelled: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs without the copies that go; its columns stay as they are."""
-    rows = located(docs)
+    docs = in_files(docs)
+    rows = located(docs, F.struct("*").alias("_row_of_docs"))
     gone = groups(docs).where("NOT kept").select("_file", "_row")
-    return except_keys(rows, ["_file", "_row"], gone).select(*docs.columns)
+    return except_keys(rows, ["_file", "_row"], gone).select("_row_of_docs.*")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

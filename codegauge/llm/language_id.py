@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from codegauge.llm import svm
 from codegauge.llm.arrow_text import texts
 from codegauge.llm.common import except_keys, read_table, tune
+from codegauge.llm.exact_dedup import in_files, located
 from codegauge.llm.vector_text import chunks, join
 
 #: Labelled rows that the machines learn from, and the most of one language.
@@ -167,11 +168,12 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(True))
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score of each row."""
+def identify(docs: DataFrame, model: Model, *keys: str) -> DataFrame:
+    """keys (doc_id by default), lang_pred, score of each row."""
     spark = docs.sparkSession
     tune(spark)
     shared = spark.sparkContext.broadcast(model)
+    keys = keys or ("doc_id",)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -181,15 +183,19 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             rows = texts(b)
             got = shared.value.predict([t.encode() for t in rows])
             got = [g if letter(t) else (UNKNOWN, 0.0) for t, g in zip(rows, got, strict=True)]
-            yield pa.record_batch({"doc_id": b.column("doc_id"), "lang_pred": pa.array([g[0] for g in got], pa.string()), "score": pa.array([g[1] for g in got], pa.float64())})
+            yield pa.record_batch({k: b.column(k) for k in keys} | {"lang_pred": pa.array([g[0] for g in got], pa.string()), "score": pa.array([g[1] for g in got], pa.float64())})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    kinds = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keys)
+    return docs.select(*keys, "text").mapInArrow(run, f"{kinds}, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """docs without those whose language isn't recognised: `und`, or a score below `least`."""
-    gone = identify(docs, fit(docs)).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select("doc_id")
-    return except_keys(docs, ["doc_id"], gone)
+    """docs without those whose language isn't recognised: `und`, or a score below `least`. Its columns stay as they are."""
+    docs = in_files(docs)
+    found = identify(located(docs, "text"), fit(docs), "_file", "_row")
+    gone = found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select("_file", "_row")
+    rows = located(docs, F.struct("*").alias("_row_of_docs"))
+    return except_keys(rows, ["_file", "_row"], gone).select("_row_of_docs.*")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

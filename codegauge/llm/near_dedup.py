@@ -12,7 +12,8 @@ With 36 bands of 5 minima, two sets of similarity 0.8 share no bucket with proba
 threshold but for 3e-7; more similar ones are missed still more rarely.
 
 Nulls and odd input: a text that is null or has no words has an empty set and links with nothing; a text with fewer words
-than a shingle is one shingle; rows of one doc_id are one document; a null doc_id links with nothing and is kept, its
+than a shingle is one shingle; repeated rows get the same result each (a doc_id should have one text: where it has
+several, each row goes by its own text, and those it stands for are taken as one document); a null doc_id links with nothing and is kept, its
 component null; ties don't arise, as components go by the smallest doc_id; an empty table gives an empty result; columns
 other than doc_id and text are not read, so names can't clash.
 """
@@ -190,7 +191,7 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     sets = written(sketches(docs, k), "near-sketches")
     known = sets.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     least = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    rows = written(sets.select("doc_id", "n", "digest").join(least, "digest", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "near-rows")
+    rows = written(sets.select("doc_id", "n", "digest").join(least, "digest", "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "near-rows")
     reps = written(known.join(least.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"]).dropDuplicates(["digest", "doc_id"]).select("doc_id", "n", "bands", "sig"), "near-reps")
     remove(spark, sets.at)
 
@@ -206,7 +207,6 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     if not more.isEmpty():
         comp = written(components(links.unionByName(more)), "near-components")
     out = rows.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
-    # rows of one doc_id may have different texts: they are one document
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codegauge.llm.common import bitmap_of, maybe_in, read_table, written
-from codegauge.llm.exact_dedup import located
+from codegauge.llm.exact_dedup import in_files, located
 
 #: Kinds in the order of reports, with patterns and the least length of the group that counts.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -197,23 +197,32 @@ def redact(docs: DataFrame, mask: str = MASK) -> DataFrame:
 
     Only rows with spans are moved.
     """
-    rows = located(docs)
-    spans = scan(rows, "_file", "_row").where(F.size("spans") > 0).select("_file", "_row", "spans")
+    docs = in_files(docs)
+    rows = located(docs, F.struct("*").alias("_all"))
+    spans = scan(located(docs, "text"), "_file", "_row").where(F.size("spans") > 0).select("_file", "_row", "spans")
     seen = maybe_in(rows, ["_file", "_row"], bitmap_of(spans, ["_file", "_row"]))
-    clean = seen.where(~F.col("_bm_hit")).select(*docs.columns)
+    clean = seen.where(~F.col("_bm_hit")).select("_all.*")
     hit = seen.where("_bm_hit").join(spans, ["_file", "_row"], "left")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    text, start = F.col("_all.text"), F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc, s):
-        gap = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
+        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
         new = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(gap, F.lit(mask)))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), new.alias("out"))
 
-    made = F.aggregate("spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    hit = hit.withColumn("text", F.when(F.col("spans").isNotNull(), made).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        hit = hit.withColumn("n_chars", F.when(F.col("spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return clean.unionByName(hit.select(*docs.columns))
+    made = F.aggregate("spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    made = F.when(F.col("spans").isNotNull(), made).otherwise(text)
+    hit = hit.withColumn("_made", made)
+
+    def column(c: str) -> Column:
+        old = F.col(f"_all.`{c}`")
+        if c == "text":
+            return F.col("_made").alias(c)
+        if c == "n_chars":
+            return F.when(F.col("spans").isNotNull(), F.length("_made").cast(docs.schema[c].dataType)).otherwise(old).alias(c)
+        return old.alias(c)
+
+    return clean.unionByName(hit.select(*map(column, docs.columns)))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
