@@ -74,7 +74,7 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def chunks(sizes: list[int], most: int = 1 << 20):
+def chunks(sizes: list[int], most: int = 1 << 18):
     """Ranges of texts of about `most` bytes together."""
     i = total = 0
     for j, n in enumerate(sizes):
