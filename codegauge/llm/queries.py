@@ -8,6 +8,7 @@ from codegauge.llm.packing import op10_packing
 from codegauge.llm.quality import op5_quality
 from codegauge.llm.secret_scan import op7_secret_scan
 from codegauge.llm.token_counts import op3_token_counts
+from codegauge.llm.token_output import op6_token_output
 from codegauge.llm.topk import OP1_SQL, op1_exact_topk
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_near_dedup": op4_near_dedup,
     "op5_quality": op5_quality,
+    "op6_token_output": op6_token_output,
     "op7_secret_scan": op7_secret_scan,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_language_id": op9_language_id,

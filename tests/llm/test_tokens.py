@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from codegauge.llm import byte_bpe, packing, token_counts
 
-TEXT = st.text(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \n\t'▁aéß<|>0½")), max_size=80)
+TEXT = st.text(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \n\t'▁aéß<|>0½İıſœ’“—…€²\u0301\u00a0")), max_size=80)
 
 
 @given(st.lists(TEXT, max_size=6), st.integers(1, 40))
