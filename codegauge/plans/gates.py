@@ -29,7 +29,8 @@ def evaluate(scores: DataFrame, totals: DataFrame, gates: DataFrame, normalize_k
     per_metric = scores.withColumn("_k", key("metric")).join(gates.where("scope = 'metrics'").withColumn("_k", key("key")), "_k")
     per_metric = per_metric.select("codebase", "scope", "key", "threshold", F.col("score").alias("actual"), (F.col("score") >= F.col("threshold")).alias("passed"))
     actual = F.when(F.col("key") == SCORE, F.col(SCORE))
-    overall = totals.join(gates.where("scope = 'overall'")).select("codebase", "scope", "key", "threshold", actual.alias("actual"), F.coalesce(actual >= F.col("threshold"), F.lit(True)).alias("passed"))
+    one = F.lit(1).alias("_one")
+    overall = totals.select("*", one).join(gates.where("scope = 'overall'").select("*", one), "_one").select("codebase", "scope", "key", "threshold", actual.alias("actual"), F.coalesce(actual >= F.col("threshold"), F.lit(True)).alias("passed"))
     return per_metric.unionByName(overall)
 
 

@@ -195,7 +195,7 @@ GEOMEAN_SQL = f"WITH t AS (SELECT l_suppkey::VARCHAR AS codebase, {_MEAN} AS s F
 def mixed_scores(spark, sf):
     """Two 'languages' (line statuses) of each supplier's metrics (return flags), averaged."""
     li = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_returnflag", "l_linestatus").agg(F.avg("l_discount").alias("score"))
-    rows = li.select(F.col("l_suppkey").cast("string").alias("codebase"), F.lit(0).alias("ordinal"), F.col("l_returnflag").alias("metric"), F.lit(0.0).alias("raw"), "score", F.lit(0.0).alias("weighted"), F.lit(0.0).alias("weight"))
+    rows = li.select(F.col("l_suppkey").cast("string").alias("codebase"), F.lit(0).alias("ordinal"), F.col("l_returnflag").alias("metric"), F.lit(0.0).alias("raw"), "score", F.lit(0.0).alias("weighted"), F.lit(0.0).alias("weight"), F.lit(None).cast("string").alias("error"))
     return score.mixed(rows).select("codebase", "metric", _r("score").alias("score"))
 
 
