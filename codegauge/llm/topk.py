@@ -6,8 +6,8 @@ product. A query's candidates are evaluated in the order of that bound, and the
 k-th score found: the result is exact for any pivots. Pivots are chosen farthest first from a sample of `PIVOT_SAMPLE`
 vectors; they change the cost alone.
 
-The queries are a stated set, met in blocks of bounded size: each block is broadcast and meets all vectors where they lie;
-a partition gives its k best for each query, and these are merged by a window of k rows for each partition.
+The queries are a stated set, met in blocks of bounded size, one after the other: a block is broadcast and meets all vectors where
+they lie; a partition gives its k best for each query, which are written, and at last merged by a window of k rows for each partition.
 
 Nulls and odd input: vectors that are null, are empty, hold a null or non-finite component, or have no id take no part;
 vectors of different lengths are not compared; a query's own vec_id is no candidate, and repeated rows of one vec_id count
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codegauge.llm.common import read_table, tune, written
+from codegauge.llm.common import read_table, scratch, tune, written
 
 K = 5
 PIVOTS = 32
@@ -108,7 +108,7 @@ def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     queries = rows.where(is_query)
     blocks = -(-queries.count() // QUERY_BLOCK)
     schema = "query_id long, vec_id long, score long"
-    found = None
+    at = scratch(spark, "topk-found")
     for block in range(blocks):
         part = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).collect()
         part = spark.sparkContext.broadcast([(r.vec_id, np.array(r.x, np.int32)) for r in sorted(part)])
@@ -130,10 +130,9 @@ def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
             flat = [(i, j, -s) for i, rows in best.items() for s, j in rows]
             yield pa.record_batch({c: pa.array([r[n] for r in flat], pa.int64()) for n, c in enumerate(("query_id", "vec_id", "score"))})
 
-        one = rows.mapInArrow(run, schema)
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        found = spark.createDataFrame([], schema)
+        rows.mapInArrow(run, schema).write.mode("append").parquet(at)
+        part.destroy()  # one block at a time is held
+    found = spark.read.schema(schema).parquet(at) if blocks else spark.createDataFrame([], schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
