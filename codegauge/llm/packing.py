@@ -8,7 +8,7 @@
    score; the last one is cut to fit and its rest is the next seed. Without scoring neighbours the next documents in order
    follow. So all windows of a shard are full but the last, which is cut into sequences of powers of two, without padding.
 
-Tokens don't reach over white space in this vocabulary's pre-tokenisation, so distinct words are encoded once by each worker,
+Tokens don't reach over the pieces of this vocabulary's pre-tokenisation, so distinct pieces are encoded once by each worker,
 in batches, and kept in a cache of bounded size; the ids equal those of the whole text.
 
 Nulls and odd input: a null text is empty and has the end id only; a null doc_id is passed on; repeated rows are packed each;
@@ -40,17 +40,22 @@ WINDOW = 2048
 SHARD_TOKENS = 1 << 20
 #: BM25's parameters.
 K1, B = 1.2, 0.75
-#: Distinct words that a worker keeps (and twice as many cuts), and characters of a word that is kept.
+#: Distinct pieces that a worker keeps, and characters of a piece that is kept.
 CACHE, LONG = 400_000, 64
 #: Sequences of whole windows are numbered from here; a shard's from shard * 2^32.
 WHOLE = 1 << 62
 
 
+#: Characters that lower-casing and normalisation treat one by one: ASCII, Latin, common punctuation.
+PLAIN = " \n!-~\u00a1-\u012f\u0132-\u0148\u014a-\u017e\u2010-\u2027\u2030-\u205e\u20ac"
+
+
 class Words(dict):
-    """Ids, as bytes, of words between spaces.
+    """Ids, as bytes, of the pieces that the vocabulary's own pattern cuts a text into.
 
-    New words of plain Latin characters are cut further as the vocabulary's own pattern does, and the distinct cuts are encoded
-    many at once: a token that ends a cut is marked as such in the vocabulary. Other words go to the library one by one.
+    Texts of plain characters are lower-cased and cut as a whole, others word by word; new pieces are encoded many at once, since
+    a token that ends a piece is marked as such in the vocabulary. Words with other characters, or with the beginning of a special
+    token, go to the library as they are. A vocabulary of another kind gets whole texts.
     """
 
     def __init__(self, path: str):
@@ -66,43 +71,61 @@ class Words(dict):
         suffix, kinds = spec["model"].get("end_of_word_suffix"), [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
         first = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
         self.cut = None
-        if suffix and kinds == ["NFC", "Replace", "Lowercase"] and first.get("type") == "Split" and first["behavior"] == "Removed" and first["invert"]:
-            self.cut = regex.compile(first["pattern"]["Regex"]).findall
+        # Fixed value: the pattern of this kind of vocabulary, whose classes are spelled out below for plain characters.
+        pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+        if suffix and kinds == ["NFC", "Replace", "Lowercase"] and first.get("type") == "Split" and first["pattern"].get("Regex") == pattern and first["behavior"] == "Removed" and first["invert"]:
+            ascii_and_more = [chr(c) for c in range(0x21, 0x2100)]
+            plain = [c for c in ascii_and_more if re.fullmatch(f"[{PLAIN}]", c)]
+            letters, digits = ("".join(re.escape(c) for c in plain if regex.match(p, c)) for p in (r"\p{L}", r"\p{N}"))
+            self.cut = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{letters}]+|[{digits}]|[^ \n{letters}{digits}]+").findall
             self.ends = np.zeros(self.size, bool)
             self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
-        self.plain = re.compile("[!-~\u00a1-\u012f]+").fullmatch
-        self.parts: dict[str, bytes] = {}
+        self.plain = re.compile(f"[{PLAIN}]*").fullmatch
+
+    def is_plain(self, text: str) -> bool:
+        return self.plain(text) is not None and "<|" not in text
+
+    def pieces(self, text: str) -> list[str]:
+        if self.is_plain(text):
+            return self.cut(text.lower())
+        out = []
+        for w in text.replace("\n", " ").split(" "):
+            if self.is_plain(w):
+                out += self.cut(w.lower())
+            else:
+                out.append(w)
+        return out
 
     def encode(self, rows: list[str]) -> list[bytes]:
         """The ids of each text."""
-        cut = [t.replace("\n", " ").split(" ") for t in rows]
+        if not self.cut:
+            return [self._bytes(e) for e in self.batch(rows, add_special_tokens=False)]
+        cut = [self.pieces(t) for t in rows]
         new = set(chain.from_iterable(cut)).difference(self)
         if len(self) + len(new) > CACHE:
             self.clear()
             new = set(chain.from_iterable(cut))
         self._learn(new)
-        out = [b"".join(map(self.__getitem__, words)) for words in cut]
-        for w in new:
-            if len(w) > LONG:
-                del self[w]
+        out = [b"".join(map(self.__getitem__, p)) for p in cut]
+        for p in new:
+            if len(p) > LONG:
+                del self[p]
         return out
 
+    def _bytes(self, encoding) -> bytes:
+        return np.array(encoding.ids, self.kind).tobytes()
+
     def _learn(self, new: set[str]) -> None:
-        plain = {w: self.cut(w.lower()) for w in new if self.plain(w) and "<|" not in w} if self.cut else {}
-        parts = list(set(chain.from_iterable(plain.values())).difference(self.parts))
-        for i in range(0, len(parts), 1000):
-            some = parts[i : i + 1000]
+        plain = [p for p in new if self.is_plain(p)]
+        for i in range(0, len(plain), 1000):
+            some = plain[i : i + 1000]
             ids = np.array(self.batch([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
             at, raw = [0, *((np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize).tolist()], ids.tobytes()
             if len(at) != len(some) + 1:
                 raise ValueError("the vocabulary doesn't mark the ends of words")
-            self.parts.update(zip(some, map(raw.__getitem__, map(slice, at, at[1:])), strict=True))
-        part = self.parts.__getitem__
-        self.update((w, b"".join(map(part, x))) for w, x in plain.items())
-        if len(self.parts) > 2 * CACHE:
-            self.parts.clear()
-        rest = [w for w in new if w not in plain]
-        self.update(zip(rest, (np.array(e.ids, self.kind).tobytes() for e in self.batch(rest, add_special_tokens=False)), strict=True))
+            self.update(zip(some, map(raw.__getitem__, map(slice, at, at[1:])), strict=True))
+        odd = [p for p in new if p not in self]
+        self.update(zip(odd, map(self._bytes, self.batch(odd, add_special_tokens=False)), strict=True))
 
 
 @lru_cache(maxsize=2)
