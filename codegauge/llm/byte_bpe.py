@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codegauge.llm.arrow_text import texts
+from codegauge.llm.arrow_text import in_arrow, texts
 from codegauge.llm.common import read_table, tune
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -128,7 +128,7 @@ def encode_ids(docs: DataFrame, path: str = RANKS, pattern: str = public_tokeniz
         for b in batches:
             yield pa.record_batch({"doc_id": b.column("doc_id"), "ids": pa.array([c.encode(t) for t in texts(b)], pa.list_(pa.int32()))})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, ids array<int>")
 
 
 def decode_ids(encoded: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -140,7 +140,7 @@ def decode_ids(encoded: DataFrame, path: str = RANKS, pattern: str = public_toke
         for b in batches:
             yield pa.record_batch({"doc_id": b.column("doc_id"), "bytes": pa.array([c.decode(x or []) for x in b.column("ids").to_pylist()], pa.binary())})
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
+    return in_arrow(encoded.select("doc_id", "ids"), run, "doc_id long, bytes binary")
 
 
 def round_trip(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -158,7 +158,7 @@ def round_trip(docs: DataFrame, path: str = RANKS, pattern: str = public_tokeniz
                 of_bytes.append(hashlib.sha256(c.decode(ids)).hexdigest())
             yield pa.record_batch({"doc_id": b.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": of_ids, "decoded_sha256": of_bytes})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

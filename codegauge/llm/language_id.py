@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codegauge.llm import svm
-from codegauge.llm.arrow_text import texts
+from codegauge.llm.arrow_text import in_arrow, texts
 from codegauge.llm.common import except_keys, read_table, tune
 from codegauge.llm.exact_dedup import in_files, located
 from codegauge.llm.vector_text import chunks, join
@@ -67,11 +67,12 @@ def _grams(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def features(rows: list[bytes]) -> np.ndarray:
-    out = np.zeros((len(rows), CELLS), np.float32)
+    """A row of shares for each text, and a last column of ones for the bias."""
+    out = np.ones((len(rows), CELLS + 1), np.float32)
     for i, row in enumerate(rows):
         two, three, starts = _grams([row])
         n = max(1, starts[1])
-        out[i] = (np.bincount(two, minlength=CELLS) + np.bincount(three, minlength=CELLS)) * (SCALE / n)
+        out[i, :-1] = (np.bincount(two, minlength=CELLS) + np.bincount(three, minlength=CELLS)) * (SCALE / n)
     return out
 
 
@@ -140,9 +141,8 @@ def train(rows: list[tuple[str, str]]) -> Model:
     for i, a in enumerate(langs):
         for b in langs[i + 1 :]:
             if family(a) == family(b):
-                own = (y == a) | (y == b)
                 model.pairs.append((a, b, len(weights)))
-                weights.append(svm.fit(x[own], np.where(y[own] == a, 1.0, -1.0)))
+                weights.append(svm.fit(x, (y == a) * 1.0 - (y == b) * 1.0))
     model.weights = np.array(weights, np.float32)
     return model
 
@@ -186,7 +186,7 @@ def identify(docs: DataFrame, model: Model, *keys: str) -> DataFrame:
             yield pa.record_batch({k: b.column(k) for k in keys} | {"lang_pred": pa.array([g[0] for g in got], pa.string()), "score": pa.array([g[1] for g in got], pa.float64())})
 
     kinds = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keys)
-    return docs.select(*keys, "text").mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return in_arrow(docs.select(*keys, "text"), run, f"{kinds}, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, least: float = LEAST) -> DataFrame:

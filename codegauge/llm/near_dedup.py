@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codegauge.llm import vector_text as vt
-from codegauge.llm.arrow_text import texts
+from codegauge.llm.arrow_text import by_group, in_arrow, texts
 from codegauge.llm.common import bitmap_of, except_keys, maybe_in, read_table, remove, tune, written
 from codegauge.llm.components import components
 
@@ -102,7 +102,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                     }
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, digest binary, bands array<long>, sig binary")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n long, digest binary, bands array<long>, sig binary")
 
 
 def _signed(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -117,7 +117,7 @@ def _signed(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
             ok = pa.array((s == t).sum(1) >= AGREE * BANDS * ROWS)
             yield b.select(["u", "v"]).filter(ok)
 
-    return pairs.mapInArrow(run, "u long, v long").distinct()
+    return in_arrow(pairs, run, "u long, v long").distinct()
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -136,7 +136,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
                     ok.append(similar(x, y, percent))
             yield b.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.mapInArrow(run, "u long, v long").distinct()
+    return in_arrow(pairs, run, "u long, v long").distinct()
 
 
 def _across(members: DataFrame, comp: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -181,7 +181,7 @@ def _across(members: DataFrame, comp: DataFrame, reps: DataFrame, docs: DataFram
                     group[group == group[r]] = group[i]
         return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
-    return dealt.groupBy("h", "a", "b").applyInArrow(run, "u long, v long").where("u != v").distinct()
+    return by_group(dealt, ["h", "a", "b"], run, "u long, v long").where("u != v").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codegauge.llm import vector_text as vt
-from codegauge.llm.arrow_text import texts
+from codegauge.llm.arrow_text import in_arrow, texts
 from codegauge.llm.common import read_table, tune
 
 #: Labelled rows that are learned from, at most.
@@ -83,7 +83,7 @@ def with_statistics(docs: DataFrame, *keys: str) -> DataFrame:
             yield pa.record_batch({k: b.column(k) for k in keys} | {c: pa.array(np.ascontiguousarray(x[:, n])) for n, c in enumerate(STATISTICS)})
 
     schema = ", ".join([f"{k} long" for k in keys] + [f"{c} double" for c in STATISTICS])
-    return docs.select(*(F.col(k).cast("long") for k in keys), "text").mapInArrow(run, schema)
+    return in_arrow(docs.select(*(F.col(k).cast("long") for k in keys), "text"), run, schema)
 
 
 #: A rule: conditions (number of the statistic, whether above, threshold) that all hold.

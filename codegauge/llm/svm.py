@@ -6,10 +6,11 @@ import numpy as np
 
 
 def fit(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 150) -> np.ndarray:
-    """Weights and, last, the bias. y: 1 or -1. Both classes weigh the same."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float32)
+    """Weights of the columns of x. y: 1 or -1, and 0 for rows that take no part. Both classes weigh the same. x is not copied."""
     y = y.astype(np.float32)
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32) * np.float32(c)
+    weight = np.zeros(len(y), np.float32)
+    for side in (1, -1):
+        weight[y == side] = c * 0.5 / max(1, (y == side).sum())
     v = np.ones(x.shape[1], np.float32)
     for _ in range(20):  # the largest eigenvalue bounds the curvature
         v = x.T @ (weight * (x @ v))

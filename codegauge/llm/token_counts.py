@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codegauge.llm.arrow_text import CHUNK_BYTES, balanced, byte_lengths, texts
+from codegauge.llm.arrow_text import CHUNK_BYTES, balanced, byte_lengths, in_arrow, texts
 from codegauge.llm.common import read_table, tune
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -77,7 +77,7 @@ def count_tokens(docs: DataFrame, path: str = MODEL, limit: int = LIMIT) -> Data
         for b in batches:
             yield pa.record_batch({"doc_id": b.column("doc_id"), "n_bytes": pa.array(byte_lengths(b), pa.int64()), "n_tokens": pa.array(counts(path, texts(b)), pa.int64())})
 
-    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    out = in_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 

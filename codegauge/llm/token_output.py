@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codegauge.llm.arrow_text import texts
+from codegauge.llm.arrow_text import by_group, in_arrow, texts
 from codegauge.llm.common import read_table, tune, written
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -59,7 +59,7 @@ def tokenised(docs: DataFrame, path: str = RANKS, end: int = END) -> DataFrame:
             ids = [np.array([*encode(t), end], IDS) for t in texts(b)]
             yield pa.record_batch({"doc_id": b.column("doc_id"), "ids": pa.array([x.tobytes() for x in ids], pa.binary()), "n": pa.array([len(x) for x in ids], pa.int64())})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, n long")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, ids binary, n long")
 
 
 class Capacities:
@@ -155,9 +155,9 @@ def sequences(docs: DataFrame, path: str = RANKS, end: int = END, window: int =
             rows.append((base + s, [order[i][1] for i in items], [order[i][2] - len(pieces[i]) for i in items], *_row([pieces[i] for i in items], window, end)))
         return table(rows)
 
-    full = tokens.where(F.col("n") >= window).mapInArrow(whole, _ROW).withColumn("sequence_id", F.monotonically_increasing_id() + F.lit(WHOLE))
+    full = in_arrow(tokens.where(F.col("n") >= window), whole, _ROW).withColumn("sequence_id", F.monotonically_increasing_id() + F.lit(WHOLE))
     rest = tokens.where(F.col("n") % window > 0).select("doc_id", "n", F.expr(f"substring(ids, cast((n - n % {window}) * {wide} + 1 as int))").alias("ids"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"))
-    return full.unionByName(rest.groupBy("shard").applyInArrow(shard, _ROW))
+    return full.unionByName(by_group(rest, ["shard"], shard, _ROW))
 
 
 def matrices(rows: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -179,7 +179,7 @@ def matrices(rows: DataFrame, block: int = BLOCK) -> DataFrame:
                     }
                 )
 
-    return rows.mapInArrow(run, "n_rows int, sequence_ids array<long>, ids binary, positions binary, cu_seqlens binary, n_segments array<int>")
+    return in_arrow(rows, run, "n_rows int, sequence_ids array<long>, ids binary, positions binary, cu_seqlens binary, n_segments array<int>")
 
 
 def write_matrices(docs: DataFrame, path: str, **options) -> None:

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codegauge.llm.arrow_text import in_arrow
 from codegauge.llm.common import read_table, scratch, tune, written
 
 K = 5
@@ -130,7 +131,7 @@ def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
             flat = [(i, j, -s) for i, rows in best.items() for s, j in rows]
             yield pa.record_batch({c: pa.array([r[n] for r in flat], pa.int64()) for n, c in enumerate(("query_id", "vec_id", "score"))})
 
-        rows.mapInArrow(run, schema).write.mode("append").parquet(at)
+        in_arrow(rows, run, schema).write.mode("append").parquet(at)
         part.destroy()  # one block at a time is held
     found = spark.read.schema(schema).parquet(at) if blocks else spark.createDataFrame([], schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
