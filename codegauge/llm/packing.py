@@ -8,8 +8,8 @@
    score; the last one is cut to fit and its rest is the next seed. Without scoring neighbours the next documents in order
    follow. So all windows of a shard are full but the last, which is cut into sequences of powers of two, without padding.
 
-Tokens don't reach over the pieces of this vocabulary's pre-tokenisation, so distinct pieces are encoded once by each worker,
-in batches, and kept in a cache of bounded size; the ids equal those of the whole text.
+Tokens don't reach over the pieces of this vocabulary's pre-tokenisation, so texts are cut there and merged by a faster library; the
+ids equal those that the vocabulary's own library gives (tested).
 
 Nulls and odd input: a null text is empty and has the end id only; a null doc_id is passed on; repeated rows are packed each;
 equal scores go to the smaller (doc_id, start); an empty table gives an empty result; other columns are not read.
@@ -21,8 +21,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import chain
+from functools import cached_property, lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -30,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codegauge.llm.arrow_text import balanced, texts
+from codegauge.llm.arrow_text import by_group, in_arrow, texts
+from codegauge.llm.byte_bpe import byte_characters
 from codegauge.llm.common import read_table, tune, written
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -40,8 +40,8 @@ WINDOW = 2048
 SHARD_TOKENS = 1 << 20
 #: BM25's parameters.
 K1, B = 1.2, 0.75
-#: Distinct pieces that a worker keeps, and characters of a piece that is kept.
-CACHE, LONG = 400_000, 64
+#: Distinct words of other than plain characters that a worker keeps.
+CACHE = 20_000
 #: Sequences of whole windows are numbered from here; a shard's from shard * 2^32.
 WHOLE = 1 << 62
 
@@ -50,82 +50,86 @@ WHOLE = 1 << 62
 PLAIN = " \n!-~\u00a1-\u012f\u0132-\u0148\u014a-\u017e\u2010-\u2027\u2030-\u205e\u20ac"
 
 
-class Words(dict):
-    """Ids, as bytes, of the pieces that the vocabulary's own pattern cuts a text into.
+class Words:
+    """Ids, as bytes, of texts.
 
-    Texts of plain characters are lower-cased and cut as a whole, others word by word; new pieces are encoded many at once, since
-    a token that ends a piece is marked as such in the vocabulary. Words with other characters, or with the beginning of a special
-    token, go to the library as they are. A vocabulary of another kind gets whole texts.
+    Texts of plain characters are lower-cased and cut by the vocabulary's own pattern; the pieces, a mark behind each, are merged by a
+    faster library for byte-level BPE, whose ranks are this vocabulary's ids: there the mark is the byte that ends a piece, and joining it to
+    the last byte comes before all other merges. Words with other characters, or with the beginning of a special token, go to the
+    vocabulary's own library. A vocabulary of another kind gets whole texts.
     """
 
+    MARK = "\0"  # one byte, no plain character
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.size = self.tokenizer.get_vocab_size()
-        self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.path = path
         spec = json.load(open(path, encoding="utf-8"))
+        self.size = len({*spec["model"]["vocab"], *(t["content"] for t in spec["added_tokens"])})
+        self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.plain = re.compile(f"[{PLAIN}]*").fullmatch
+        self.cut = None
         suffix, kinds = spec["model"].get("end_of_word_suffix"), [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
         first = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
-        self.cut = None
         # Fixed value: the pattern of this kind of vocabulary, whose classes are spelled out below for plain characters.
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
         if suffix and kinds == ["NFC", "Replace", "Lowercase"] and first.get("type") == "Split" and first["pattern"].get("Regex") == pattern and first["behavior"] == "Removed" and first["invert"]:
-            ascii_and_more = [chr(c) for c in range(0x21, 0x2100)]
-            plain = [c for c in ascii_and_more if re.fullmatch(f"[{PLAIN}]", c)]
+            plain = [c for c in map(chr, range(0x21, 0x2100)) if re.fullmatch(f"[{PLAIN}]", c)]
             letters, digits = ("".join(re.escape(c) for c in plain if regex.match(p, c)) for p in (r"\p{L}", r"\p{N}"))
             self.cut = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{letters}]+|[{digits}]|[^ \n{letters}{digits}]+").findall
-            self.ends = np.zeros(self.size, bool)
-            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
-        self.plain = re.compile(f"[{PLAIN}]*").fullmatch
+            self.merges = self._merges(spec["model"]["vocab"], suffix, {t["content"] for t in spec["added_tokens"]})
+        self.odd = lru_cache(maxsize=CACHE)(lambda w: self._bytes(self.batch([w], add_special_tokens=False)[0].ids))
+
+    @cached_property
+    def tokenizer(self):
+        """The vocabulary's own library, loaded when a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    def batch(self, rows: list[str], **options):
+        return getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)(rows, **options)
+
+    def _merges(self, vocabulary: dict[str, int], suffix: str, special: set[str]):
+        import tiktoken
+
+        byte = {c: b for b, c in enumerate(byte_characters())}
+        ranks = {}
+        for token, i in vocabulary.items():
+            if token not in special:
+                body = token.removesuffix(suffix)
+                ranks[bytes(map(byte.__getitem__, body)) + self.MARK.encode() * (body != token)] = i
+        return tiktoken.Encoding("words", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
+
+    def _bytes(self, ids) -> bytes:
+        return np.array(ids, self.kind).tobytes()
 
     def is_plain(self, text: str) -> bool:
         return self.plain(text) is not None and "<|" not in text
 
-    def pieces(self, text: str) -> list[str]:
+    def _plain(self, text: str) -> bytes:
+        pieces = self.cut(text.lower())
+        return self._bytes(self.merges.encode_ordinary(self.MARK.join(pieces) + self.MARK)) if pieces else b""
+
+    def encode_one(self, text: str) -> bytes:
         if self.is_plain(text):
-            return self.cut(text.lower())
-        out = []
+            return self._plain(text)
+        out, run = [], []
         for w in text.replace("\n", " ").split(" "):
             if self.is_plain(w):
-                out += self.cut(w.lower())
+                run.append(w)
             else:
-                out.append(w)
-        return out
+                out += [self._plain(" ".join(run)), self.odd(w)]
+                run = []
+        return b"".join([*out, self._plain(" ".join(run))])
 
     def encode(self, rows: list[str]) -> list[bytes]:
         """The ids of each text."""
         if not self.cut:
-            return [self._bytes(e) for e in self.batch(rows, add_special_tokens=False)]
-        cut = [self.pieces(t) for t in rows]
-        new = set(chain.from_iterable(cut)).difference(self)
-        if len(self) + len(new) > CACHE:
-            self.clear()
-            new = set(chain.from_iterable(cut))
-        self._learn(new)
-        out = [b"".join(map(self.__getitem__, p)) for p in cut]
-        for p in new:
-            if len(p) > LONG:
-                del self[p]
-        return out
-
-    def _bytes(self, encoding) -> bytes:
-        return np.array(encoding.ids, self.kind).tobytes()
-
-    def _learn(self, new: set[str]) -> None:
-        plain = [p for p in new if self.is_plain(p)]
-        for i in range(0, len(plain), 1000):
-            some = plain[i : i + 1000]
-            ids = np.array(self.batch([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
-            at, raw = [0, *((np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize).tolist()], ids.tobytes()
-            if len(at) != len(some) + 1:
-                raise ValueError("the vocabulary doesn't mark the ends of words")
-            self.update(zip(some, map(raw.__getitem__, map(slice, at, at[1:])), strict=True))
-        odd = [p for p in new if p not in self]
-        self.update(zip(odd, map(self._bytes, self.batch(odd, add_special_tokens=False)), strict=True))
+            return [self._bytes(e.ids) for e in self.batch(rows, add_special_tokens=False)]
+        return [self.encode_one(t) for t in rows]
 
 
 @lru_cache(maxsize=2)
@@ -141,12 +145,10 @@ def tokenised(docs: DataFrame, path: str = TOKENIZER, end: int = END) -> DataFra
         w = words(path)
         tail = np.array([end], w.kind).tobytes()
         for b in batches:
-            rows, ids = texts(b), []
-            for i, j in balanced([len(t) for t in rows]):
-                ids += [x + tail for x in w.encode(rows[i:j])]
+            ids = [x + tail for x in w.encode(texts(b))]
             yield pa.record_batch({"doc_id": b.column("doc_id"), "ids": pa.array(ids, pa.binary()), "n": pa.array([len(x) // w.kind.itemsize for x in ids], pa.int64())})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, n long")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, ids binary, n long")
 
 
 def frequencies(tokens: DataFrame, size: int, kind: str) -> np.ndarray:
@@ -163,7 +165,7 @@ def frequencies(tokens: DataFrame, size: int, kind: str) -> np.ndarray:
         yield pa.record_batch({"id": pa.array(at, pa.int64()), "df": pa.array(df[at], pa.int64())})
 
     out = np.zeros(size, np.int64)
-    for r in tokens.select("ids").mapInArrow(run, "id long, df long").groupBy("id").agg(F.sum("df").alias("df")).collect():
+    for r in in_arrow(tokens.select("ids"), run, "id long, df long").groupBy("id").agg(F.sum("df").alias("df")).collect():
         out[r.id] = r.df
     return out
 
@@ -299,10 +301,10 @@ def packed(docs: DataFrame, path: str = TOKENIZER, end: int = END, window: int =
         return pa.table({c: pa.array(v, t) for c, v, t in zip(names, zip(*rows, strict=True), kinds, strict=True)})
 
     wide = w.kind.itemsize
-    full = tokens.where(F.col("n") >= window).mapInArrow(whole, "doc_id long, start long, ids binary, doc_tokens long")
+    full = in_arrow(tokens.where(F.col("n") >= window), whole, "doc_id long, start long, ids binary, doc_tokens long")
     full = full.select("doc_id", "start", F.lit(window).cast("long").alias("length"), "ids", "doc_tokens", (F.monotonically_increasing_id() + F.lit(WHOLE)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = tokens.where(F.col("n") % window > 0).select("doc_id", "n", F.expr(f"substring(ids, cast((n - n % {window}) * {wide} + 1 as int))").alias("ids"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"))
-    return full.unionByName(rest.groupBy("shard").applyInArrow(shard, _COLUMNS))
+    return full.unionByName(by_group(rest, ["shard"], shard, _COLUMNS))
 
 
 def digests(pieces: DataFrame) -> DataFrame:
