@@ -68,8 +68,9 @@ def test_graph(spark):
     assert got == {("c", "Root"): 0, ("c", "L1"): 1, ("c", "L2"): 2, ("c", "X"): 1, ("c", "P"): 2, ("c", "Q"): 2, ("c", "S"): 1, ("d", "L2"): 0}
     uses = [("two", m, f) for m, f in [("a", "x"), ("b", "x"), ("c", "y"), ("d", "y")]] + [("one", "a", "x")] + [("none", "a", "x"), ("none", "b", "y"), ("none", "c", None)] + [("iso", "a", "x"), ("iso", "b", "x"), ("iso", "c", None)]
     uses += [("chain", f"m{i}", f"f{j}") for i in range(12) for j in (i, i + 1)]
-    got = {r.g: r.lcom for r in graph.cohesion(spark.createDataFrame(uses, "g string, method string, field string"), "g").collect()}
-    assert got == {"two": 2, "one": 0, "none": 1, "iso": 2, "chain": 1}
+    for most in (512, 5, 0):  # inside rows, both ways, and by rounds
+        got = {r.g: r.lcom for r in graph.cohesion(spark.createDataFrame(uses, "g string, method string, field string"), "g", most=most).collect()}
+        assert got == {"two": 2, "one": 0, "none": 1, "iso": 2, "chain": 1}
 
 
 def test_security_scores(spark):
