@@ -3,7 +3,7 @@
 from codegauge.llm.byte_bpe import op8_byte_bpe
 from codegauge.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from codegauge.llm.language_id import op9_language_id
-from codegauge.llm.near_dedup import op4_near_dedup
+from codegauge.llm.near_dedup import OP4_SQL, op4_near_dedup
 from codegauge.llm.packing import op10_packing
 from codegauge.llm.quality import op5_quality
 from codegauge.llm.secret_scan import op7_secret_scan
@@ -27,4 +27,5 @@ QUERIES = {
 ORACLE = {
     "op1_exact_topk": OP1_SQL,
     "op2_exact_dedup": OP2_SQL,
+    "op4_near_dedup": OP4_SQL,
 }
