@@ -101,3 +101,10 @@ def test_neighbours_share_terms():
     rows = packing.pack(pieces, np.log1p((30 - df + 0.5) / (df + 0.5)), 401.0)
     first = rows[0]
     assert {k % 3 for k, _, _ in first} == {0} and sum(n for _, _, n in first) == 2048
+
+
+def test_all_common_characters_encode_as_the_library_does():
+    w = packing.words(packing.TOKENIZER)
+    rows = [sep.join(map(chr, range(a, a + 40))) for a in range(0, 0x2200, 40) for sep in ("", " ")]
+    want = [e.ids for e in w.tokenizer.encode_batch(rows, add_special_tokens=False)]
+    assert [np.frombuffer(x, w.kind).tolist() for x in w.encode(rows)] == want
