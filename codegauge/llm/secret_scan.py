@@ -4,8 +4,10 @@ Base kinds, leftmost without overlap for each kind; a match that is too short is
 `assign` (a key word, `:` or `=`, and a value of 12 or more characters), `access` (an access-key id of 18 or more),
 `hex` (16 or more lower-case hex digits). A span is the whole match, in code points, its end exclusive.
 
-The method adds spans of kind `random`: runs of 20 or more characters of `[A-Za-z0-9+/_=-]` that meet no base span. For each
-run the encoding is inferred (hex, base32, alphanumeric, base64 or its URL form), and three tests ask whether it is random in
+The method adds spans of kind `random`: runs of 20 or more characters of `[A-Za-z0-9+/_-]`, with the padding behind them, that meet no
+base span; `=` within cuts a run. For each run the encoding is inferred (hex, base32, alphanumeric, base64 or its URL form). A run that
+only all characters together hold, such as a path with `-`, is judged as that and in pieces too: those without `-` and `_`, those without
+`+` and `/`, and those without all four, of 20 or more characters; their spans may overlap. Three tests ask whether it is random in
 that alphabet: chi-squared for uniform use, runs about the alphabet's middle, and serial correlation. Their p-values are combined
 by Bonferroni. Non-randomness is a discovery of the Benjamini-Hochberg procedure at rate `RATE`, done for each class of lengths
 by itself since long runs make smaller p-values; what isn't discovered to be non-random is reported. The procedure works on
@@ -35,7 +37,10 @@ KINDS = {
     "access": (r"AKIA[A-Z0-9]{14,}", 0, 18),
     "hex": (r"[0-9a-f]{16,}", 0, 16),
 }
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
+#: A run stands between `=`; the last ones of all are its padding.
+RUN = r"[A-Za-z0-9+/_-]{20,}(?:=+(?![A-Za-z0-9+/_-]))?"
+#: What is cut out of a run that no single encoding holds.
+PIECES = (r"[A-Za-z0-9+/]{20,}", r"[A-Za-z0-9_-]{20,}", r"[A-Za-z0-9]{20,}")
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 #: Encodings in the order of inference: the pattern of a whole run without its padding, and the alphabet.
 ENCODINGS = {
@@ -44,6 +49,7 @@ ENCODINGS = {
     "alphanumeric": ("[A-Za-z0-9]+", UPPER + LOWER + DIGITS),
     "base64": ("[A-Za-z0-9+/]+", UPPER + LOWER + DIGITS + "+/"),
     "base64url": ("[A-Za-z0-9_-]+", UPPER + LOWER + DIGITS + "-_"),
+    "mixed": ("[A-Za-z0-9+/_-]+", UPPER + LOWER + DIGITS + "+/-_"),
 }
 #: Lengths at which the classes begin.
 CLASSES = (20, 32, 64, 128)
@@ -80,7 +86,16 @@ def _tail(z: Column) -> Column:
 
 
 def _battery(runs: Column) -> Column:
-    """start, end, n, p of each run whose encoding is known."""
+    """start, end, n, p of each run, and of each piece of a run of mixed encodings."""
+
+    def pieces(r):
+        one = F.struct(*(r[c].alias(c) for c in ("start", "end", "value")))
+
+        def cut(pattern):
+            return F.transform(_found(r["value"], pattern, 0, CLASSES[0]), lambda x: F.struct((r["start"] + x["start"]).alias("start"), (r["start"] + x["end"]).alias("end"), x["value"].alias("value")))
+
+        mixed = r["value"].rlike("[+/]") & r["value"].rlike("[_-]")
+        return F.when(mixed, F.array_distinct(F.concat(F.array(one), *map(cut, PIECES)))).otherwise(F.array(one))
 
     def coded(r):
         body = F.regexp_replace(r["value"], "=+$", "")
@@ -122,7 +137,7 @@ def _battery(runs: Column) -> Column:
         p = F.least(F.lit(1.0), 3 * F.least(_tail(z), 2 * _tail(F.abs(zr)), 2 * _tail(F.abs(zs))))
         return F.struct(r["start"].alias("start"), r["end"].alias("end"), n.cast("int").alias("n"), p.alias("p"))
 
-    out = F.filter(F.transform(runs, coded), lambda r: r["alphabet"].isNotNull() & (F.length(r["body"]) >= CLASSES[0]))
+    out = F.transform(F.flatten(F.transform(runs, pieces)), coded)
     for f in (indexed, summed, correlated, judged):
         out = F.transform(out, f)
     return out

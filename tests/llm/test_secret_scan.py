@@ -56,3 +56,18 @@ def test_redact(docs, odd):
 def test_no_python_on_executors(docs, odd):
     plan = op.scan(docs(odd))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_runs_of_no_single_encoding(docs):
+    rng = random.Random(4)
+    token = "".join(rng.choice(op.UPPER + op.LOWER + op.DIGITS) for _ in range(24))
+    cases = [f"client_id={token}", f"sig={token}==", f"x?auth={token}&y", f"a=b={token}=c", f"hooks/services/a-b/{token}", f"a-b_c/{token}", f"a+b-{token}", "hooks/services/T0A1-B2C3/XyZ12345abcdEFGH"]
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == 3] for r in op.scan(docs([(i, t, "en") for i, t in enumerate(cases)])).collect()}
+    for i, t in enumerate(cases[:-1]):
+        at = t.index(token)
+        assert any(a <= at and at + len(token) <= b for a, b in got[i]), t
+    assert got[0] == [(10, 34)] and got[1] == [(4, 30)]
+    at = cases[-1].index("XyZ")
+    assert any(a <= at and at + 16 <= b for a, b in got[len(cases) - 1])
+    out = {r.doc_id: r.text for r in op.redact(docs([(i, t, "en") for i, t in enumerate(cases)])).collect()}
+    assert not any(token in t for t in out.values()) and "XyZ" not in out[len(cases) - 1]
