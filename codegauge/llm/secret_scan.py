@@ -5,7 +5,7 @@ Base kinds, leftmost without overlap for each kind; a match that is too short is
 `hex` (16 or more lower-case hex digits). A span is the whole match, in code points, its end exclusive.
 
 The method adds spans of kind `random`: runs of 20 or more characters of `[A-Za-z0-9+/_-]`, with the padding behind them, that meet no
-base span; `=` within cuts a run. For each run the encoding is inferred (hex, base32, alphanumeric, base64 or its URL form). A run that
+base span; `=` within cuts a run. For each run the encoding is inferred (hex, letters of one case, base32 or base36 of one case, letters, alphanumeric, base64 or its URL form). A run that
 only all characters together hold, such as a path with `-`, is judged as that and in pieces too: those without `-` and `_`, those without
 `+` and `/`, and those without all four, of 20 or more characters; their spans may overlap. Three tests ask whether it is random in
 that alphabet: chi-squared for uniform use, runs about the alphabet's middle, and serial correlation. Their p-values are combined
@@ -42,10 +42,16 @@ RUN = r"[A-Za-z0-9+/_-]{20,}(?:=+(?![A-Za-z0-9+/_-]))?"
 #: What is cut out of a run that no single encoding holds.
 PIECES = (r"[A-Za-z0-9+/]{20,}", r"[A-Za-z0-9_-]{20,}", r"[A-Za-z0-9]{20,}")
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
-#: Encodings in the order of inference: the pattern of a whole run without its padding, and the alphabet.
+#: Encodings in the order of inference, the smallest alphabet first: the pattern of a whole run without its padding, and the alphabet.
 ENCODINGS = {
     "hex": ("[0-9a-f]+|[0-9A-F]+", "0123456789abcdef"),
+    "lower": ("[a-z]+", LOWER),
+    "upper": ("[A-Z]+", UPPER),
     "base32": ("[A-Z2-7]+", UPPER + "234567"),
+    "lower base32": ("[a-z2-7]+", LOWER + "234567"),
+    "base36": ("[A-Z0-9]+", UPPER + DIGITS),
+    "lower base36": ("[a-z0-9]+", LOWER + DIGITS),
+    "letters": ("[A-Za-z]+", UPPER + LOWER),
     "alphanumeric": ("[A-Za-z0-9]+", UPPER + LOWER + DIGITS),
     "base64": ("[A-Za-z0-9+/]+", UPPER + LOWER + DIGITS + "+/"),
     "base64url": ("[A-Za-z0-9_-]+", UPPER + LOWER + DIGITS + "-_"),

@@ -71,3 +71,14 @@ def test_runs_of_no_single_encoding(docs):
     assert any(a <= at and at + 16 <= b for a, b in got[len(cases) - 1])
     out = {r.doc_id: r.text for r in op.redact(docs([(i, t, "en") for i, t in enumerate(cases)])).collect()}
     assert not any(token in t for t in out.values()) and "XyZ" not in out[len(cases) - 1]
+
+
+def test_random_tokens_of_each_alphabet(docs):
+    rng = random.Random(5)
+    alphabets = [op.LOWER + op.DIGITS, op.UPPER + op.DIGITS, op.LOWER + "234567", op.UPPER + "234567", op.LOWER, op.UPPER, op.UPPER + op.LOWER, op.UPPER + op.LOWER + op.DIGITS]
+    cells = [(a, n) for a in alphabets for n in (20, 32, 40, 64, 128)]
+    pairs = [(100 * c + i, "".join(rng.choice(a) for _ in range(n)), "en") for c, (a, n) in enumerate(cells) for i in range(100)]
+    low = [0] * len(cells)
+    for r in op._parts(docs(pairs), "doc_id").collect():
+        low[r.doc_id // 100] += any(x.p <= op.RATE for x in r.runs)
+    assert max(low) <= 15, dict(zip(cells, low))
