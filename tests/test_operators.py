@@ -189,3 +189,14 @@ def test_recommendations(spark):
     assert advice.first_handler("m2", [(lambda m: m == "m1", 1), (lambda m: m == "m2", 2)]) == 2
     with pytest.raises(ValueError, match="provider"):
         advice.first_handler("x", [])
+
+
+def test_chains_have_no_longest(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MOST_HOPS", 3, raising=False)
+    monkeypatch.setattr(graph, "CUT", 2, raising=False)
+    links = [("a", f"c{i}", f"c{i - 1}" if i else None) for i in range(8)]
+    got = {r.name: r.depth for r in graph.depths(spark.createDataFrame(links, "codebase string, name string, parent string")).collect()}
+    assert got == {f"c{i}": i for i in range(8)}
+    uses = [("a", f"m{i}", f"f{j}") for i in range(8) for j in (i, i + 1)]
+    row = graph.cohesion(spark.createDataFrame(uses, "g string, method string, field string"), "g", most=0).first()
+    assert row.lcom == 1
