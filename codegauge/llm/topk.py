@@ -111,10 +111,15 @@ class Best:
         self.k, self.least, self.rows = k, least, []
 
     def add(self, scores, ids) -> None:
-        self.rows = sorted([*self.rows, *((-int(s), int(i)) for s, i in zip(scores, ids, strict=True) if s >= self.least)])[: self.k]
+        self.rows = sorted([*self.rows, *((-int(s), int(i)) for s, i in zip(scores, ids, strict=True) if int(s) >= self.least)])[: self.k]
         if len(self.rows) == self.k:
             self.least = max(self.least, -self.rows[-1][0])
 
+    @property
+    def reach(self) -> float:
+        """The least score as a double, for scores of tame vectors, which are far smaller than the limits here."""
+        return float(min(max(self.least, -1e300), 1e300))
+
 
 def meet(q: Rows, x: Rows, best: list[Best], counter: list | None = None) -> None:
     """Offer each query's candidates among x, in order of their bounds until none can be among its best. Both: tame, of one length."""
@@ -122,7 +127,7 @@ def meet(q: Rows, x: Rows, best: list[Best], counter: list | None = None) -> Non
     low, high = x.d.min(0), x.d.max(0)
     far = np.maximum(np.maximum(low - q.d, q.d - high).max(1), 0)  # of the whole block
     nearest = np.maximum(far - 1e-6, 0)
-    hopeful = (nq + nx.max() - nearest**2) / 2 + 1 >= [b.least for b in best]
+    hopeful = (nq + nx.max() - nearest**2) / 2 + 1 >= [b.reach for b in best]
     for begin in range(0, len(q), QUERY_BLOCK):
         some = np.flatnonzero(hopeful[begin : begin + QUERY_BLOCK]) + begin
         if not len(some):
@@ -140,7 +145,7 @@ def meet(q: Rows, x: Rows, best: list[Best], counter: list | None = None) -> Non
 
 def _in_order(q: Rows, i: int, x: Rows, bound: np.ndarray, best: Best, counter: list | None) -> None:
     bound[x.row == q.row[i]] = -np.inf
-    left = np.flatnonzero(bound >= max(best.least, -1e300))
+    left = np.flatnonzero(bound >= best.reach)
     step = STEP
     while len(left):
         if step < len(left) and 2 * len(left) > step:
@@ -152,7 +157,7 @@ def _in_order(q: Rows, i: int, x: Rows, bound: np.ndarray, best: Best, counter:
         s = s[now] if len(s) == len(x) and len(now) != len(x) else s
         if counter is not None:
             counter[0] += len(now)
-        able = s >= best.least
+        able = s >= best.reach
         if able.any():
             s, ids = s[able], x.vec_id[now][able]
             top = np.lexsort((ids, -s))[: best.k]
@@ -162,7 +167,7 @@ def _in_order(q: Rows, i: int, x: Rows, bound: np.ndarray, best: Best, counter:
         rest = np.ones(len(left), bool)
         rest[first] = False
         left = left[rest]
-        left = left[bound[left] >= best.least]
+        left = left[bound[left] >= best.reach]
         step *= 4
 
 

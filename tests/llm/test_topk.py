@@ -52,7 +52,7 @@ def test_very_large_components(spark):
     rows = [(i, [float(np.float32(c)) for c in rng.normal(size=4)], "") for i in range(120)]
     rows += [(200 + i, [float(np.float32(c * s)) for c in rng.normal(size=4)], "") for i, s in enumerate([1e8, 1e8, 1e8, 1e30, 1e30, 1e30, 2.0**33, 1e5, 1e4] * 6)]
     assert found(spark, rows) == brute(rows)
-    wide = [(i, [float(c) for c in rng.normal(size=3) * 10.0 ** (i % 300)], "") for i in range(100)] + [(500, [1.7e308, 0.0, -1.0], ""), (501, [1.6e308, 1.0, 1.0], "")]
+    wide = [(i, [float(c) for c in rng.normal(size=3) * 10.0 ** (i % 300)], "") for i in range(100)] + [(500, [1.7e308, 0.0, -1.0], ""), *((501 + i, [1.6e308, float(i), 1.0], "") for i in range(6))]
     assert found(spark, wide, "double") == brute(wide)
 
 
