@@ -140,7 +140,7 @@ def _replaced(text: Column, spans: Column, fill: Callable[[Column, Column], Colu
 
     def ends(s):
         chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
-        return F.struct(chunks.alias("chunks"), s.alias("spans"), _running(F.transform(s, lambda x: x["end"]), F.greatest).alias("ends"), F.length(text).alias("n"))
+        return F.struct(chunks.alias("chunks"), s.alias("spans"), _running(F.transform(s, lambda x: x["end"]), lambda a, b: F.greatest(a, b)).alias("ends"), F.length(text).alias("n"))
 
     return F.when(F.size(spans) == 0, text).otherwise(_let(_let(spans, ends), made))
 
@@ -216,7 +216,7 @@ def _battery(runs: Column) -> Column:
         expect = F.transform(r["there"], lambda x: x * r["n"] / r["k"])
         by_class = F.aggregate(F.zip_with(r["used"], expect, lambda o, e: F.when(e > 0, (o - e) * (o - e) / e).otherwise(0.0)), F.lit(0.0), lambda acc, x: acc + x)
         return F.struct(
-            *(r[c].alias(c) for c in ("start", "end", "n", "k", "products", "ends")), r["half.high"].alias("high"), r["half.runs"].alias("runs"), total(lambda x: x["c"] * x["c"]).alias("square"), total(lambda x: x["c"] * x["j"]).alias("sum"),
+            *(r[c].alias(c) for c in ("start", "end", "n", "k", "products", "ends")), r["half"]["high"].alias("high"), r["half"]["runs"].alias("runs"), total(lambda x: x["c"] * x["c"]).alias("square"), total(lambda x: x["c"] * x["j"]).alias("sum"),
             total(lambda x: x["c"] * x["j"] * x["j"]).alias("sum2"), by_class.alias("by_class"), F.size(F.filter(r["there"], lambda x: x > 0)).alias("classes"),
         )
 
