@@ -58,7 +58,7 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
     if args.command == "gate" or getattr(args, "gate", False):
         at = args.config or config.find_gates(args.path)
         content = config.parse_gates(open(at, encoding="utf-8").read()) if at else None
-        evaluated = gates_.evaluate(rows, totals, gates_.gate_table(spark, content), args.normalize_keys).cache()
+        evaluated = gates_.evaluate(rows, totals, content, args.normalize_keys).cache()
         for r in gates_.lines(evaluated).collect():  # a line for each gate
             print(r.line)
         verdict = gates_.verdicts(evaluated).first()
@@ -89,7 +89,7 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
-    spark = SparkSession.builder.appName("codegauge").config("spark.sql.shuffle.partitions", os.environ.get("CODEGAUGE_PARTITIONS", "8")).getOrCreate()
+    spark = SparkSession.builder.appName("codegauge").getOrCreate()
     return run(args, spark)
 
 

@@ -1,36 +1,39 @@
-"""Quality gates: thresholds joined with scores."""
+"""Quality gates: thresholds, as literals, beside each row of scores; nothing is joined."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codegauge.plans.score import SCORE
 from codegauge.sources.config import DEFAULT_GATES
 
 
-def gate_table(spark: SparkSession, gates: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """scope, key, threshold of a gate file's content."""
-    rows = [(scope, k, float(v)) for scope, keys in (gates or DEFAULT_GATES).items() for k, v in keys.items()]
-    return spark.createDataFrame(rows, "scope string, key string, threshold double")
+def _listed(gates: dict[str, dict[str, float]] | None, scope: str) -> Column:
+    """An array of key and threshold of a scope of a gate file's content."""
+    rows = [F.struct(F.lit(k).alias("key"), F.lit(float(v)).alias("threshold")) for k, v in (gates or DEFAULT_GATES).get(scope, {}).items()]
+    return F.array(*rows).cast("array<struct<key:string,threshold:double>>")
 
 
-def evaluate(scores: DataFrame, totals: DataFrame, gates: DataFrame, normalize_keys: bool = False) -> DataFrame:
+def evaluate(scores: DataFrame, totals: DataFrame, gates: dict[str, dict[str, float]] | None = None, normalize_keys: bool = False) -> DataFrame:
     """codebase, scope, key, threshold, actual, passed of each gate that applies.
 
-    scores: codebase, metric, score. totals: codebase and quality_score. Gates of metrics without a score are skipped; an overall gate
+    scores: codebase, metric, score. totals: codebase and quality_score. gates: a gate file's content, or the default. Gates of metrics without a score are skipped; an overall gate
     without one passes. normalize_keys matches names in lower case with underscores for spaces too.
     """
 
-    def key(c: str):
-        return F.lower(F.replace(c, F.lit(" "), F.lit("_"))) if normalize_keys else F.col(c)
+    def key(c: Column) -> Column:
+        return F.lower(F.replace(c, F.lit(" "), F.lit("_"))) if normalize_keys else c
 
-    gates = F.broadcast(gates)  # a file written by hand
-    per_metric = scores.withColumn("_k", key("metric")).join(gates.where("scope = 'metrics'").withColumn("_k", key("key")), "_k")
-    per_metric = per_metric.select("codebase", "scope", "key", "threshold", F.col("score").alias("actual"), (F.col("score") >= F.col("threshold")).alias("passed"))
+    def judged(rows: DataFrame, actual: Column, passed: Column) -> DataFrame:
+        return rows.select("codebase", "scope", "key", "threshold", actual.alias("actual"), passed.alias("passed"))
+
+    of_metric = F.filter(_listed(gates, "metrics"), lambda g: key(g["key"]) == key(F.col("metric")))
+    per_metric = scores.select("codebase", "score", F.lit("metrics").alias("scope"), F.inline(of_metric))
+    per_metric = judged(per_metric, F.col("score"), F.col("score") >= F.col("threshold"))
     actual = F.when(F.col("key") == SCORE, F.col(SCORE))
-    one = F.lit(1).alias("_one")
-    overall = totals.select("*", one).join(gates.where("scope = 'overall'").select("*", one), "_one").select("codebase", "scope", "key", "threshold", actual.alias("actual"), F.coalesce(actual >= F.col("threshold"), F.lit(True)).alias("passed"))
+    overall = totals.select("codebase", SCORE, F.lit("overall").alias("scope"), F.inline(_listed(gates, "overall")))
+    overall = judged(overall, actual, F.coalesce(actual >= F.col("threshold"), F.lit(True)))
     return per_metric.unionByName(overall)
 
 

@@ -206,7 +206,7 @@ _GATES = {"overall": {score.SCORE: 0.3, "other": 0.9}, "metrics": {"A": 0.5, "N"
 def quality_gates(spark, sf):
     rows = _line_scores(spark, sf)
     per = rows.groupBy("codebase", "metric").agg(F.avg("score").alias("score"))
-    v = gates.verdicts(gates.evaluate(per, score.geometric_mean(rows, "codebase"), gates.gate_table(spark, _GATES)))
+    v = gates.verdicts(gates.evaluate(per, score.geometric_mean(rows, "codebase"), _GATES))
     return v.select("codebase", "passed", F.col("n_passed").cast("long"), F.col("n_failed").cast("long"))
 
 
@@ -458,7 +458,7 @@ GOLDEN = [
 def code_metrics(spark, sf):
     """Raw metric values of the corpus for which values are known."""
     known = spark.createDataFrame([(c, m) for c, m, _ in GOLDEN], "codebase string, metric string")
-    rows = score.analyze(corpus(spark), persist=False)
+    rows = score.analyze(corpus(spark))
     return rows.join(F.broadcast(known), ["codebase", "metric"]).select("codebase", "metric", _r("raw").alias("raw"))
 
 
@@ -466,7 +466,7 @@ CODE_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{m}', {v}::DOUBLE)" f
 
 
 def code_scores(spark, sf):
-    return score.scored(score.analyze(corpus(spark), persist=False)).select("codebase", _r(score.SCORE).alias(score.SCORE))
+    return score.scored(score.analyze(corpus(spark))).select("codebase", _r(score.SCORE).alias(score.SCORE))
 
 
 def code_findings(spark, sf):
@@ -490,7 +490,7 @@ def syntax_nodes(spark, sf):
 
 
 def code_reports(spark, sf):
-    rows = score.analyze(corpus(spark), persist=False)
+    rows = score.analyze(corpus(spark))
     totals = score.scored(rows)
     return sinks.gathered(rows, totals).select("codebase", *(f().alias(k.replace("-", "_")) for k, f in sinks.FORMATS.items()))
 

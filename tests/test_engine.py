@@ -157,3 +157,8 @@ def test_nothing_else_imports_the_corpus_part():
             for n in names:
                 if n.endswith(".py"):
                     assert "codegauge.llm" not in open(os.path.join(folder, n), encoding="utf-8").read()
+
+
+def test_files_are_parsed_once(spark):
+    plan = score.analyze(queries.corpus(spark), "java")._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan  # the facts are read from the checkpoint folder

@@ -120,7 +120,7 @@ def test_gates(spark):
     totals = spark.createDataFrame([("a", 0.7), ("b", 0.5)], "codebase string, quality_score double")
 
     def verdict(gates_, **more):
-        v = gates.verdicts(gates.evaluate(scores, totals, gates.gate_table(spark, gates_), **more))
+        v = gates.verdicts(gates.evaluate(scores, totals, gates_, **more))
         return {r.codebase: (r.passed, r.n_passed, r.n_failed) for r in v.collect()}
 
     assert verdict(None) == {"a": (True, 2, 0), "b": (False, 0, 2)}
@@ -200,3 +200,14 @@ def test_chains_have_no_longest(spark, monkeypatch):
     uses = [("a", f"m{i}", f"f{j}") for i in range(8) for j in (i, i + 1)]
     row = graph.cohesion(spark.createDataFrame(uses, "g string, method string, field string"), "g", most=0).first()
     assert row.lcom == 1
+
+
+def test_project_files_are_parsed_as_xml():
+    one = "<dependency{}><groupId>{}</groupId><artifactId>{}</artifactId><version>{}</version></dependency>"
+    of = dependencies.project_dependencies
+    assert of("<project>" + one.format(' a="x"', "g&lt;h", "<![CDATA[a]]>", "1") + "</project>") == [("g<h", "a", "1")]
+    assert of('<?xml version="1.0" encoding="ISO-8859-1"?><project xmlns="u" xmlns:x="v" x:y="z">' + one.format("", "é", "a", "\n2 ") + "</project>") == [("é", "a", "2")]
+    assert of('<p:project xmlns:p="u"><p:dependency><p:groupId>g</p:groupId><p:artifactId>a</p:artifactId><p:version>2</p:version></p:dependency></p:project>') == []
+    assert of("<project><!-- " + one.format("", "g", "a", "1") + " --></project>") == []
+    for bad in (None, "", "<project>" + one.format("", "g", "a", "1"), "<!DOCTYPE x><project>" + one.format("", "g", "a", "1") + "</project>"):
+        assert of(bad) == []
