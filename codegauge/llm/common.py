@@ -12,6 +12,8 @@ ARROW_ROWS = 1000
 #: Bits of a membership bitmap. Its size is fixed (4 MB), whatever the input.
 BITMAP_BITS = 1 << 25
 _BUCKET = 32768
+#: Groups that hold more than this part of all rows are joined by a broadcast; there are fewer than HOT.
+HOT = 1024
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not at:
         got = spark.sparkContext.getCheckpointDir()
         if not got:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir("/tmp/checkpoints/codegauge")
             got = spark.sparkContext.getCheckpointDir()
         at = got
@@ -57,6 +61,18 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def spread_join(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """Inner join of rows with groups (a written table, one row for each key; size: its number of rows) where a group may be hot.
+
+    Groups with more than 1 / HOT of all rows, fewer than HOT, are broadcast, and their rows stay where they are.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = F.col(size) > total // HOT
+    of_hot = rows.join(F.broadcast(groups.where(hot)), key)
+    others = rows.join(F.broadcast(groups.where(hot).select(key)), key, "left_anti").join(groups.where(~hot), key)
+    return of_hot.unionByName(others)
+
+
 def _slot(keys: list, bits: int):
     return F.pmod(F.xxhash64(*keys), F.lit(bits)) + F.lit(1)
 

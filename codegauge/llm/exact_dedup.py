@@ -22,7 +22,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codegauge.llm.common import bitmap_of, except_keys, maybe_in, read_table, scratch, written
+from codegauge.llm.common import bitmap_of, except_keys, maybe_in, read_table, scratch, spread_join, written
 
 #: White space that texts may differ in.
 BLANK = r"[\x20\x09-\x0D]+"
@@ -108,7 +108,7 @@ def groups(docs: DataFrame, digest_chars: int = 64) -> DataFrame:
         empty = F.lit(None).cast(f"struct<n:int,no_id:boolean,doc_id:{digests.schema['doc_id'].dataType.simpleString()},_file:string,_row:bigint>")
         return _result(digests.withColumns({"best": empty, "size": F.lit(0).cast("long")}))
     state = digest_stream(spark, digests)
-    labelled = written(digests.join(state, "digest"), "dedup-rows")
+    labelled = written(spread_join(digests, state, "digest", "size"), "dedup-rows")
     bad = written(_differing(rows, labelled), "dedup-collisions")
     out = _result(labelled)
     if bad.isEmpty():
