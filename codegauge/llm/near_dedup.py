@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from codegauge.llm import vector_text as vt
 from codegauge.llm.arrow_text import by_group, in_arrow, texts
-from codegauge.llm.common import bitmap_of, except_keys, maybe_in, read_table, remove, tune, written
+from codegauge.llm.common import bitmap_of, except_keys, maybe_in, read_table, remove, spread_join, tune, written
 from codegauge.llm.components import components
 
 #: Words of a shingle, and the similarity in hundredths that links documents.
@@ -149,8 +149,9 @@ def _across(members: DataFrame, comp: DataFrame, reps: DataFrame, docs: DataFram
     seen = members.where("size > 2").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
     seen = seen.withColumn("component", F.coalesce("component", "rep"))
     mixed = seen.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).where("lo != hi")
+    mixed = written(mixed, "near-mixed")
     blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
-    seen = seen.join(mixed.select("h", blocks.alias("blocks")), "h").select("h", "band", "rep", "component", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("mine"))
+    seen = spread_join(seen, mixed.select("h", "m", blocks.alias("blocks")), "h", "m").select("h", "band", "rep", "component", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("mine"))
     rows = maybe_in(docs.select(F.col("doc_id").cast("long"), "text"), ["doc_id"], bitmap_of(seen.select(F.col("rep").alias("doc_id")), ["doc_id"])).where("_bm_hit")
     full = rows.select("doc_id", "text").join(reps.select("doc_id", "bands", "sig"), "doc_id").withColumnRenamed("doc_id", "rep")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -190,14 +191,15 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     tune(spark)
     sets = written(sketches(docs, k), "near-sketches")
     known = sets.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    least = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    rows = written(sets.select("doc_id", "n", "digest").join(least, "digest", "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "near-rows")
+    least = written(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")), "near-least")
+    alone = sets.where("digest IS NULL OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("rep"))
+    rows = written(alone.unionByName(spread_join(known.select("doc_id", "n", "digest"), least, "digest", "size").select("doc_id", "n", "rep")), "near-rows")
     reps = written(known.join(least.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"]).dropDuplicates(["digest", "doc_id"]).select("doc_id", "n", "bands", "sig"), "near-reps")
     remove(spark, sets.at)
 
     bands = reps.select(F.col("doc_id").alias("rep"), "n", F.posexplode("bands").alias("band", "h"))
-    stars = bands.groupBy("h").agg(F.min("rep").alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = written(bands.join(stars, "h").select("h", "band", "rep", "n", "c", "size"), "near-members")
+    stars = written(bands.groupBy("h").agg(F.min("rep").alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1"), "near-stars")
+    members = written(spread_join(bands, stars, "h", "size").select("h", "band", "rep", "n", "c", "size"), "near-members")
     pairs = members.where("rep != c").select(F.col("rep").alias("u"), F.col("c").alias("v")).distinct()
     pairs = written(_signed(pairs, reps, percent), "near-pairs")
     links = written(_confirmed(pairs, docs, k, percent), "near-links")
