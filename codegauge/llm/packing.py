@@ -303,7 +303,7 @@ def packed(docs: DataFrame, path: str = TOKENIZER, end: int = END, window: int =
     wide = w.kind.itemsize
     full = in_arrow(tokens.where(F.col("n") >= window), whole, "doc_id long, start long, ids binary, doc_tokens long")
     full = full.select("doc_id", "start", F.lit(window).cast("long").alias("length"), "ids", "doc_tokens", (F.monotonically_increasing_id() + F.lit(WHOLE)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rest = tokens.where(F.col("n") % window > 0).select("doc_id", "n", F.expr(f"substring(ids, cast((n - n % {window}) * {wide} + 1 as int))").alias("ids"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"))
+    rest = tokens.where(F.col("n") % window > 0).select("doc_id", "n", F.expr(f"substring(ids, cast((n - n % {window}) * {wide} + 1 as int))").alias("ids"), F.pmod(F.xxhash64("doc_id", "ids", F.monotonically_increasing_id()), F.lit(shards)).alias("shard"))
     return full.unionByName(by_group(rest, ["shard"], shard, _COLUMNS))
 
 

@@ -156,7 +156,7 @@ def sequences(docs: DataFrame, path: str = RANKS, end: int = END, window: int =
         return table(rows)
 
     full = in_arrow(tokens.where(F.col("n") >= window), whole, _ROW).withColumn("sequence_id", F.monotonically_increasing_id() + F.lit(WHOLE))
-    rest = tokens.where(F.col("n") % window > 0).select("doc_id", "n", F.expr(f"substring(ids, cast((n - n % {window}) * {wide} + 1 as int))").alias("ids"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"))
+    rest = tokens.where(F.col("n") % window > 0).select("doc_id", "n", F.expr(f"substring(ids, cast((n - n % {window}) * {wide} + 1 as int))").alias("ids"), F.pmod(F.xxhash64("doc_id", "ids", F.monotonically_increasing_id()), F.lit(shards)).alias("shard"))
     return full.unionByName(by_group(rest, ["shard"], shard, _ROW))
 
 
