@@ -40,17 +40,18 @@ def load(path: str):
 
 
 def split(text: str, most: int = CHUNK_BYTES) -> list[str]:
-    """Parts of a text of about `most` characters. Each cut drops one space that follows another character."""
+    """Parts of a text of about `most` bytes of UTF-8. Each cut drops one space that follows another character."""
+    data = text.encode()
     parts, at = [], 0
-    while len(text) - at > most:
-        cut = text.find(" ", at + most)
-        while cut > 0 and text[cut - 1] in (" ", MARK):
-            cut = text.find(" ", cut + 1)
-        if cut < 0 or cut + 1 >= len(text):
+    while len(data) - at > most:
+        cut = data.find(b" ", at + most)
+        while cut > 0 and data[max(0, cut - 3) : cut].endswith((b" ", MARK.encode())):
+            cut = data.find(b" ", cut + 1)
+        if cut < 0 or cut + 1 >= len(data):
             break
-        parts.append(text[at:cut])
+        parts.append(data[at:cut].decode())
         at = cut + 1
-    parts.append(text[at:])
+    parts.append(data[at:].decode())
     return parts
 
 
@@ -59,11 +60,11 @@ def counts(path: str, rows: list[str], most: int = CHUNK_BYTES) -> list[int]:
     sp, safe = load(path)
     owner, parts = [], []
     for i, text in enumerate(rows):
-        for part in split(text, most) if safe and len(text) > most else [text]:
+        for part in split(text, most) if safe and 4 * len(text) > most else [text]:
             owner.append(i)
             parts.append(part)
     out = [0] * len(rows)
-    for i, j in balanced([len(p) for p in parts], most):
+    for i, j in balanced([len(p.encode()) for p in parts], most):
         for k, ids in zip(owner[i:j], sp.encode(parts[i:j], num_threads=1), strict=True):
             out[k] += len(ids)
     return out
