@@ -148,14 +148,14 @@ def train(rows: list[tuple[str, str]]) -> Model:
 
 
 def sample(docs: DataFrame, learn) -> list[tuple[str, str]]:
-    """At most MAX_EACH labelled texts of a language and MAX_ROWS in all, by a hash of the doc_id."""
+    """At most MAX_EACH labelled texts of a language and MAX_ROWS in all, by a hash of the doc_id; 2 MAX_ROWS where doc_ids repeat. Always the same rows."""
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
     n = rows.select("lang").distinct().limit(MAX_ROWS).count()
     each = max(1, min(MAX_EACH, MAX_ROWS // max(1, n)))
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    top = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= each).select("doc_id", "lang").limit(MAX_ROWS)
+    top = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= each).orderBy("_r", "lang", "doc_id").select("doc_id", "lang").limit(MAX_ROWS)
     ids = sorted({r.doc_id for r in top.collect()})
-    got = docs.where(F.col("doc_id").isin(ids) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang").limit(2 * MAX_ROWS)
+    got = docs.where(F.col("doc_id").isin(ids) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "text").limit(2 * MAX_ROWS)
     return [(r.text, r.lang) for r in sorted(got.collect())]
 
 

@@ -198,7 +198,7 @@ def held_out() -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Ensemble:
-    """Rules for `label` (0 or 1) from labelled rows that aren't held out."""
+    """Rules for `label` (0 or 1) from MAX_LABELLED labelled rows at most that aren't held out, by a hash of the doc_id; twice as many where doc_ids repeat."""
     some = labels.where(~held_out() & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("long").alias("_label"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id", "_label").limit(MAX_LABELLED)
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # MAX_LABELLED rows at most
