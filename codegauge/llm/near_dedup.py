@@ -5,11 +5,13 @@
 2. In each band bucket the members are paired with the smallest one (a star, not all pairs). Pairs that pass the sizes and
    the signatures are confirmed on the full sets, which are made again from the texts of these documents only.
 3. Components of the links, by large-star and small-star. Then, in buckets that still hold several components, the
-   members of different components are compared in blocks, by signatures and then by full sets, and only links leave a
-   block. So each pair that shares a bucket is either connected already or has been compared.
+   members of different components are compared in blocks: first by signatures, which tells the members that have a
+   possible partner, then those members by full sets. Only members and links leave a block, never candidates, and blocks of one
+   component never meet. So each pair that shares a bucket is either connected already or has been compared.
 
-With 36 bands of 5 minima, two sets of similarity 0.8 share no bucket with probability 6e-7, and pass the signature
-threshold but for 3e-7; more similar ones are missed still more rarely.
+Bands and the signature threshold follow from the similarity asked for. At 0.8 (36 bands of 5 minima), two sets of just that
+similarity share no bucket with probability 6e-7, and pass the signature threshold but for 3e-7; more similar ones are
+missed still more rarely. A similarity for which no banding misses less than one in a million is refused.
 
 Nulls and odd input: a text that is null or has no words has an empty set and links with nothing; a text with fewer words
 than a shingle is one shingle; repeated rows get the same result each (a doc_id should have one text: where it has
@@ -35,17 +37,30 @@ from codegauge.llm.components import components
 
 #: Words of a shingle, and the similarity in hundredths that links documents.
 WORDS, PERCENT = 5, 80
-#: Bands, and minima of a band.
-BANDS, ROWS = 36, 5
-#: Minima of a signature that agree at least (five standard deviations below 0.8).
-AGREE = 0.65
-#: Members of a bucket, and shingles of theirs, that form a block when components are compared.
-BLOCK, BLOCK_SHINGLES = 512, 400_000
-
-_SEEDS = np.random.default_rng(7).integers(0, 2**32, (2, BANDS * ROWS), np.uint64).astype(np.uint32)
+#: Minima of a signature, and the most probable loss of a pair that is just similar enough.
+MINIMA, LOSS = 180, 1e-6
+#: Members of a bucket that form a block when signatures are compared; members, and shingles of theirs, when full sets are.
+SIGNED_BLOCK, BLOCK, BLOCK_SHINGLES = 1024, 512, 400_000
+
+_SEEDS = np.random.default_rng(7).integers(0, 2**32, (2, MINIMA), np.uint64).astype(np.uint32)
 _A, _B = _SEEDS[0] | np.uint32(1), _SEEDS[1]
 
 
+def rows_of(percent: int) -> int:
+    """Minima of a band: the most with which a pair of this similarity shares no band with probability LOSS at most."""
+    p = percent / 100
+    fit = [r for r in range(1, 11) if 0 < p <= 1 and (1 - p**r) ** (MINIMA // r) <= LOSS]
+    if not fit:
+        raise ValueError(f"similarity of {percent} in a hundred can't be found by {MINIMA} minima")
+    return fit[-1]
+
+
+def least_agreeing(percent: int) -> int:
+    """Minima that agree at least in signatures of this similarity (five standard deviations below it)."""
+    p = percent / 100
+    return max(0, int(MINIMA * p - 5 * (MINIMA * p * (1 - p)) ** 0.5))
+
+
 def shingle_sets(rows: list[bytes], k: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     out = []
@@ -74,15 +89,17 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def band_hashes(low: np.ndarray) -> np.ndarray:
-    out = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) + np.uint64(1), (len(low), BANDS)).copy()
-    for r in range(ROWS):
-        out = vt.mix(out * np.uint64(0x9E3779B97F4A7C15) + low[:, r::ROWS])
+def band_hashes(low: np.ndarray, rows: int) -> np.ndarray:
+    bands = MINIMA // rows
+    out = np.broadcast_to(np.arange(bands, dtype=np.uint64) + np.uint64(1), (len(low), bands)).copy()
+    for r in range(rows):
+        out = vt.mix(out * np.uint64(0x9E3779B97F4A7C15) + low[:, r : bands * rows : rows])
     return out.view(np.int64)
 
 
-def sketches(docs: DataFrame, k: int) -> DataFrame:
+def sketches(docs: DataFrame, k: int, percent: int = PERCENT) -> DataFrame:
     """doc_id, n (set size), digest, bands and signature of each row; the last three are null for an empty set."""
+    per_band = rows_of(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -90,8 +107,8 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
             for i, j in vt.chunks([len(r) for r in rows]):
                 sets = shingle_sets(rows[i:j], k)
                 full = [s for s in sets if len(s)]
-                low = minima(full) if full else np.zeros((0, BANDS * ROWS), np.uint32)
-                bands, sigs = iter(band_hashes(low)), iter(low.astype(np.uint8))
+                low = minima(full) if full else np.zeros((0, MINIMA), np.uint32)
+                bands, sigs = iter(band_hashes(low, per_band)), iter(low.astype(np.uint8))
                 yield pa.record_batch(
                     {
                         "doc_id": b.column("doc_id").slice(i, j - i),
@@ -110,11 +127,12 @@ def _signed(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     for c in ("u", "v"):
         pairs = pairs.join(reps.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}")), c)
     pairs = pairs.where(F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent).select("u", "v", "sig_u", "sig_v")
+    agree = least_agreeing(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s, t = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for c in ("sig_u", "sig_v"))
-            ok = pa.array((s == t).sum(1) >= AGREE * BANDS * ROWS)
+            s, t = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, MINIMA) for c in ("sig_u", "sig_v"))
+            ok = pa.array((s == t).sum(1) >= agree)
             yield b.select(["u", "v"]).filter(ok)
 
     return in_arrow(pairs, run, "u long, v long").distinct()
@@ -139,42 +157,79 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
     return in_arrow(pairs, run, "u long, v long").distinct()
 
 
+def _dealt(members: DataFrame, most: int, most_shingles: int) -> DataFrame:
+    """Members (h, component, rep, n, ...) of buckets, once for each pair (a, b) of blocks to compare; mine is the own block.
+
+    A component that fills more than a quarter of a block in a bucket gets blocks of its own, which meet all blocks but those
+    of the same component; the others are dealt whole to shared blocks, each of which meets itself too. So a bucket of one large
+    component and few other members makes about as many rows as it has members.
+    """
+    by = members.groupBy("h", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
+    filled = F.greatest(F.col("m") / most, F.col("total") / most_shingles)
+    shared = F.coalesce(F.ceil(F.sum(F.when(filled <= 0.25, filled))), F.lit(0)).cast("int")
+    large = F.collect_list(F.when(filled > 0.25, F.struct("component", F.ceil(filled).cast("int").alias("parts"))))
+    buckets = written(by.groupBy("h").agg(F.sum("m").alias("size"), shared.alias("shared"), large.alias("large")), "near-buckets")
+    rows = spread_join(members, buckets, "h", "size")
+    rows = rows.withColumn("parts", F.expr("try_element_at(filter(large, x -> x.component = component), 1).parts"))
+    mine = "IF(parts IS NULL, pmod(xxhash64(component), greatest(shared, 1)), xxhash64(component, CAST(pmod(xxhash64(rep), parts) AS INT)))"
+    in_shared = "IF(shared > 0, transform(sequence(0, greatest(shared, 1) - 1), s -> CAST(s AS BIGINT)), CAST(array() AS ARRAY<BIGINT>))"
+    in_large = "flatten(transform(filter(large, x -> x.component != component), x -> transform(sequence(0, x.parts - 1), p -> xxhash64(x.component, p))))"
+    rows = rows.withColumn("mine", F.expr(mine)).withColumn("with", F.explode(F.expr(f"concat({in_shared}, {in_large})")))
+    rows = rows.withColumns({"a": F.least("mine", "with"), "b": F.greatest("mine", "with")})
+    return rows.drop("size", "shared", "large", "parts", "with")
+
+
+def _partners(table: pa.Table, size: np.ndarray, group: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each member of a pair of blocks, the later ones of other groups that sizes and signatures allow, in the first bucket they share.
+
+    group may change while the pairs are gone through.
+    """
+    mine, band, agree = table.column("mine").to_numpy(), table.column("band")[0].as_py(), least_agreeing(percent)
+    bands = np.array(table.column("bands").to_pylist(), np.int64)
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, MINIMA)
+    same = table.column("a")[0].as_py() == table.column("b")[0].as_py()
+    for i in range(len(mine) - 1):
+        rest = i + 1 + np.flatnonzero(group[i + 1 :] != group[i])
+        if not same:
+            rest = rest[mine[rest] != mine[i]]
+        rest = rest[100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i])]
+        rest = rest[(sig[rest] == sig[i]).sum(1) >= agree]
+        rest = rest[(bands[rest] == bands[i]).argmax(1) == band]
+        if len(rest):
+            yield i, rest
+
+
 def _across(members: DataFrame, comp: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (u, v) between members of one bucket that belong to different components, confirmed block by block.
 
-    A bucket's members are dealt to blocks by number and by size; each pair of blocks is one group of bounded memory that
-    holds the members' texts. A pair is compared in the first bucket it shares, by sizes and signatures and then by full sets,
-    and not at all once links found in the group connect its components. So only links leave a group, never candidates.
+    Signatures are compared first, and only members with a possible partner are dealt again, with their texts, to blocks of
+    bounded memory. There a pair is not compared once links found in the block connect its components.
     """
     seen = members.where("size > 2").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    seen = seen.withColumn("component", F.coalesce("component", "rep"))
-    mixed = seen.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).where("lo != hi")
-    mixed = written(mixed, "near-mixed")
-    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
-    seen = spread_join(seen, mixed.select("h", "m", blocks.alias("blocks")), "h", "m").select("h", "band", "rep", "component", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("mine"))
-    rows = maybe_in(docs.select(F.col("doc_id").cast("long"), "text"), ["doc_id"], bitmap_of(seen.select(F.col("rep").alias("doc_id")), ["doc_id"])).where("_bm_hit")
-    full = rows.select("doc_id", "text").join(reps.select("doc_id", "bands", "sig"), "doc_id").withColumnRenamed("doc_id", "rep")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = seen.join(full, "rep").select("h", "band", "rep", "component", "mine", other.alias("with"), "bands", "sig", "text")
-    dealt = dealt.withColumns({"a": F.least("mine", "with"), "b": F.greatest("mine", "with")}).drop("with")
-
-    def run(table: pa.Table) -> pa.Table:
-        rep, comp, mine = (table.column(c).to_numpy() for c in ("rep", "component", "mine"))
-        band = table.column("band")[0].as_py()
-        bands = np.array(table.column("bands").to_pylist(), np.int64)
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+    seen = seen.withColumn("component", F.coalesce("component", "rep")).select("h", "band", "rep", "component", "n")
+    mixed = seen.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo != hi")
+    mixed = written(mixed.select("h", "m"), "near-mixed")
+    seen = written(spread_join(seen, mixed, "h", "m").drop("m"), "near-seen")
+    signed = reps.select(F.col("doc_id").alias("rep"), "bands", "sig")
+
+    def possible(table: pa.Table) -> pa.Table:
+        hit = np.zeros(len(table), bool)
+        for i, rest in _partners(table, table.column("n").to_numpy(), table.column("component").to_numpy(), percent):
+            hit[i] = hit[rest] = True
+        return table.select(["h", "band", "rep", "component", "n"]).filter(pa.array(hit))
+
+    few = by_group(_dealt(seen, SIGNED_BLOCK, 1 << 62).join(signed, "rep"), ["h", "a", "b"], possible, "h long, band int, rep long, component long, n long")
+    few = written(few.distinct(), "near-possible")
+    ids = bitmap_of(few.select(F.col("rep").alias("doc_id")), ["doc_id"])
+    rows = maybe_in(docs.select(F.col("doc_id").cast("long"), "text"), ["doc_id"], ids).where("_bm_hit")
+    dealt = _dealt(few, BLOCK, BLOCK_SHINGLES).join(signed, "rep").join(rows.select(F.col("doc_id").alias("rep"), "text"), "rep")
+
+    def links(table: pa.Table) -> pa.Table:
+        rep = table.column("rep").to_numpy()
         sets = shingle_sets([(t or "").encode() for t in table.column("text").to_pylist()], k)
-        size = np.array([len(x) for x in sets])
-        same = table.column("a")[0].as_py() == table.column("b")[0].as_py()
-        _, group = np.unique(comp, return_inverse=True)  # merged as links are found
+        _, group = np.unique(table.column("component").to_numpy(), return_inverse=True)  # merged as links are found
         us, vs = [], []
-        for i in range(len(rep) - 1):
-            rest = np.arange(i + 1, len(rep))
-            if not same:
-                rest = rest[mine[rest] != mine[i]]
-            rest = rest[(group[rest] != group[i]) & (100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i]))]
-            rest = rest[(sig[rest] == sig[i]).sum(1) >= AGREE * BANDS * ROWS]
-            rest = rest[(bands[rest] == bands[i]).argmax(1) == band]
+        for i, rest in _partners(table, np.array([len(x) for x in sets]), group, percent):
             for r in rest:
                 if group[r] != group[i] and similar(sets[i], sets[r], percent):
                     us.append(max(rep[i], rep[r]))
@@ -182,14 +237,14 @@ def _across(members: DataFrame, comp: DataFrame, reps: DataFrame, docs: DataFram
                     group[group == group[r]] = group[i]
         return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
-    return by_group(dealt, ["h", "a", "b"], run, "u long, v long").where("u != v").distinct()
+    return by_group(dealt, ["h", "a", "b"], links, "u long, v long").where("u != v").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs."""
     spark = docs.sparkSession
     tune(spark)
-    sets = written(sketches(docs, k), "near-sketches")
+    sets = written(sketches(docs, k, percent), "near-sketches")
     known = sets.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     least = written(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")), "near-least")
     alone = sets.where("digest IS NULL OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("rep"))

@@ -62,6 +62,7 @@ def test_brute_force(docs, odd, words, k):
 def test_blocks_of_one_bucket(docs, words, monkeypatch):
     """Members of a hot bucket in several blocks: chains whose links don't touch the bucket's smallest member."""
     monkeypatch.setattr(op, "BLOCK", 4)
+    monkeypatch.setattr(op, "SIGNED_BLOCK", 4)
     base = words(60, seed=9)
     pairs, t = [], list(base)
     for i in range(24):
@@ -71,6 +72,32 @@ def test_blocks_of_one_bucket(docs, words, monkeypatch):
     assert got(op.near_duplicates(docs(pairs), 2)) == brute(pairs, 2)
 
 
+def test_blocks_meet_linearly(spark):
+    """A large component and few others: each pair of components meets once, and rows grow with the members, not their square."""
+    members = [(1, 0, i, 0, 9) for i in range(5000)] + [(1, 0, 6000 + i, 6000 + i, 9) for i in range(3)] + [(2, 0, 1, 0, 9), (2, 0, 2, 2, 9)]
+    rows = op._dealt(spark.createDataFrame(members, "h long, band int, rep long, component long, n long"), 512, 1 << 62).collect()
+    large = [r for r in rows if r.h == 1 and r.component == 0]
+    assert len(large) == 5000 and len(rows) < 5100
+    meets = {}
+    for r in rows:
+        meets.setdefault((r.h, r.a, r.b), []).append(r)
+    assert max(map(len, meets.values())) < 1024
+    pairs = [(r.rep, s.rep) for g in meets.values() for r in g for s in g if r.h == 1 and r.component == 0 and s.rep == 6001]
+    assert sorted(p[0] for p in pairs) == list(range(5000))
+
+
+@pytest.mark.parametrize("percent", [60, 90])
+def test_other_similarities(docs, words, percent):
+    pairs = variants(words, seed=percent)
+    assert got(op.near_duplicates(docs(pairs), 2, percent)) == brute(pairs, 2, percent)
+
+
+def test_banding():
+    assert [op.rows_of(p) for p in (60, 80, 90)] == [3, 5, 7] and op.least_agreeing(80) == 117
+    with pytest.raises(ValueError):
+        op.rows_of(5)
+
+
 def test_kept_and_empty(docs, odd):
     empty = docs([])
     assert op.near_duplicates(empty).count() == 0 and op.keep_one(empty).columns == empty.columns
