@@ -40,7 +40,7 @@ WORDS, PERCENT = 5, 80
 #: Minima of a signature, and the most probable loss of a pair that is just similar enough.
 MINIMA, LOSS = 180, 1e-6
 #: Members of a bucket that form a block when signatures are compared; members, and shingles of theirs, when full sets are.
-SIGNED_BLOCK, BLOCK, BLOCK_SHINGLES = 1024, 512, 400_000
+SIGNED_BLOCK, BLOCK, BLOCK_SHINGLES = 512, 512, 400_000
 
 _SEEDS = np.random.default_rng(7).integers(0, 2**32, (2, MINIMA), np.uint64).astype(np.uint32)
 _A, _B = _SEEDS[0] | np.uint32(1), _SEEDS[1]
