@@ -240,37 +240,6 @@ SELECT name, max(d)::BIGINT AS depth FROM t GROUP BY name
 """
 
 
-def largest_ratio(spark, sf):
-    """The largest share of urgent orders of a customer, by market segment."""
-    o = table(spark, sf, "orders").groupBy("o_custkey").agg(F.avg((F.col("o_orderpriority") == "1-URGENT").cast("double")).alias("ratio"))
-    c = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
-    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_mktsegment").agg(_r(F.max("ratio")).alias("raw"))
-
-
-RATIO_SQL = "WITH o AS (SELECT o_custkey, avg((o_orderpriority = '1-URGENT')::INT) AS r FROM orders GROUP BY 1) SELECT c_mktsegment, round(max(r), 6) AS raw FROM o JOIN customer ON o_custkey = c_custkey GROUP BY 1"
-_STOP = ["Brand#1", "Brand#2", "Brand#3"]
-
-
-def distinct_names(spark, sf):
-    """Distinct brands of each supplier's parts but those of a stop list, and the mean."""
-    p = table(spark, sf, "part").where(~F.col("p_brand").isin(_STOP)).select("p_partkey", "p_brand")
-    li = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey").join(p, F.col("l_partkey") == F.col("p_partkey"))
-    return li.groupBy("l_suppkey").agg(F.countDistinct("p_brand").alias("n_names"))
-
-
-NAMES_SQL = f"SELECT l_suppkey, count(DISTINCT p_brand) AS n_names FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand NOT IN ({', '.join(repr(x) for x in _STOP)}) GROUP BY 1"
-
-
-def response_sets(spark, sf):
-    """Distinct parts plus distinct suppliers of each order, the largest by order status."""
-    li = table(spark, sf, "lineitem").groupBy("l_orderkey").agg((F.countDistinct("l_partkey") + F.countDistinct("l_suppkey")).alias("n"))
-    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
-    return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderstatus").agg(F.max("n").alias("raw"), _r(F.avg("n")).alias("mean"))
-
-
-SETS_SQL = "WITH l AS (SELECT l_orderkey, count(DISTINCT l_partkey) + count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1) SELECT o_orderstatus, max(n) AS raw, round(avg(n), 6) AS mean FROM l JOIN orders ON l_orderkey = o_orderkey GROUP BY 1"
-
-
 def cohesion_of_orders(spark, sf):
     """Components of an order's lines that share a quantity, or a status and flag with a discount."""
     li = table(spark, sf, "lineitem")
@@ -485,6 +454,48 @@ def code_smells(spark, sf):
 CODE_SMELLS_SQL = """SELECT * FROM (VALUES ('smell_params', 'LONG_PARAMETER_LIST', 'IMPLEMENTATION', 'LOW', 1.0::DOUBLE), ('tsmell', 'EMPTY_TEST', 'TEST', 'HIGH', 3.0), ('tsmell', 'SLEEPY_TEST', 'TEST', 'HIGH', 3.0)) AS t(codebase, id, category, severity, severity_weight)"""
 
 
+#: Numbers of branches, nesting, private and public methods and superclasses of a part's sources.
+_SHAPE = {"n": "p_size % 5", "d": "p_partkey % 4", "priv": "p_size % 3", "pub": "p_partkey % 3", "e": "p_partkey % 5"}
+
+
+def _generated(spark, sf) -> DataFrame:
+    """A Java and a Kotlin file for each part, whose shape follows from its key and size."""
+    p = table(spark, sf, "part").selectExpr("CAST(p_partkey AS STRING) AS key", *(f"CAST({e} AS INT) AS {c}" for c, e in _SHAPE.items()))
+
+    def each(count: str, line: str):
+        return F.expr(f"concat_ws('', transform(filter(sequence(0, {count}), i -> i > 0), i -> {line}))")
+
+    body = lambda test: (F.expr(f"repeat('    if ({test}) {{ g(a); }}\\n', n)"), F.expr(f"repeat('    if ({test}) {{\\n', d)"), F.lit("    g(a);\n"), F.expr("repeat('    }\\n', d)"))
+    java = F.concat(
+        each("e", "concat('class C', i, IF(i > 1, concat(' extends C', i - 1), ''), ' {}\\n')"), F.expr("concat('class P', IF(e > 0, concat(' extends C', e), ''), ' {\\n  int x;\\n  int y;\\n  public void f(int a) {\\n')"),
+        *body("a > 0"), F.lit("  }\n"), each("priv", "concat('  private int p', i, '() { return y; }\\n')"), each("pub", "concat('  public int q', i, '() { return x; }\\n')"), F.lit("}\n"),
+    )
+    kotlin = F.concat(
+        F.lit("class P {\n  fun f(a: Int) {\n"), *body("a > 0"), F.lit("  }\n"),
+        each("priv", "concat('  private fun p', i, '(): Int { return 1 }\\n')"), each("pub", "concat('  fun q', i, '(): Int { return 2 }\\n')"), F.lit("}\n"),
+    )
+    rows = [p.select(F.concat(F.lit(lang), "key").alias("codebase"), F.lit(f"src/main/{lang}/P.{end}").alias("path"), F.lit(lang).alias("lang"), source.alias("source")) for lang, end, source in (("java", "java", java), ("kotlin", "kt", kotlin))]
+    return rows[0].unionByName(rows[1])
+
+
+def generated_metrics(spark, sf):
+    """Metrics of sources made from every part; the SQL derives them from the same columns by the metrics' definitions."""
+    stated = F.col("metric").isin("Cyclomatic Complexity", "Cognitive Complexity", "mhf") | ((F.col("metric").isin("dit", "Lack of Cohesion of Methods")) & F.col("codebase").startswith("java"))
+    return score.analyze(_generated(spark, sf)).where(stated).select("codebase", "metric", _r("raw").alias("raw"))
+
+
+GENERATED_SQL = f"""
+WITH p AS (SELECT p_partkey::VARCHAR AS key, {", ".join(f"({e})::INT AS {c}" for c, e in _SHAPE.items())} FROM part),
+m AS (SELECT *, 1 + priv + pub AS methods FROM p),
+b AS (
+  SELECT lang || key AS codebase, lang, e, unnest(['Cyclomatic Complexity', 'Cognitive Complexity', 'mhf', 'dit', 'Lack of Cohesion of Methods']) AS metric,
+         unnest([(methods + n + d) / methods, (n + d * (d + 1) / 2) / methods, priv / methods, e,
+                 CASE WHEN methods = 1 THEN 0 WHEN priv < 2 AND pub < 2 THEN 1 ELSE 1 + (priv > 0)::INT + (pub > 0)::INT END / (1 + e)])::DOUBLE AS raw
+  FROM m, (VALUES ('java'), ('kotlin')) AS l(lang))
+SELECT codebase, metric, round(raw, 6) AS raw FROM b WHERE lang = 'java' OR metric NOT IN ('dit', 'Lack of Cohesion of Methods')
+"""
+
+
 def syntax_nodes(spark, sf):
     return facts_.nodes(corpus(spark)).groupBy("codebase", "kind").agg(F.count(F.lit(1)).alias("n"))
 
@@ -512,7 +523,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         duplication_across, duplication_within, line_counts, secrets_exposure, path_predicates, normalisation_curves, geometric_mean_score, mixed_scores, quality_gates, hierarchy_depth,
-        largest_ratio, distinct_names, response_sets, cohesion_of_orders, finding_density, smell_counts, severity_counts, top_issues, manifest_dependencies, vulnerability_exposure,
+        generated_metrics, cohesion_of_orders, finding_density, smell_counts, severity_counts, top_issues, manifest_dependencies, vulnerability_exposure,
         lookup_answers, parsed_recommendations, status_changes, supplier_badges, code_metrics, code_scores, code_findings, code_smells, syntax_nodes, code_reports, code_hotspots, code_prompts,
     )
 }
@@ -528,9 +539,7 @@ ORACLE = {
     "mixed_scores": MIXED_SQL,
     "quality_gates": GATES_SQL,
     "hierarchy_depth": DEPTH_SQL,
-    "largest_ratio": RATIO_SQL,
-    "distinct_names": NAMES_SQL,
-    "response_sets": SETS_SQL,
+    "generated_metrics": GENERATED_SQL,
     "cohesion_of_orders": COHESION_SQL,
     "finding_density": FINDINGS_SQL,
     "smell_counts": SMELLS_SQL,
