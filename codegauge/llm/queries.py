@@ -3,6 +3,7 @@
 from codegauge.llm.byte_bpe import op8_byte_bpe
 from codegauge.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from codegauge.llm.language_id import op9_language_id
+from codegauge.llm.merkle import OP11_SQL, op11_merkle_manifest
 from codegauge.llm.near_dedup import OP4_SQL, op4_near_dedup
 from codegauge.llm.packing import op10_packing
 from codegauge.llm.quality import op5_quality
@@ -22,10 +23,12 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLE = {
     "op1_exact_topk": OP1_SQL,
     "op2_exact_dedup": OP2_SQL,
     "op4_near_dedup": OP4_SQL,
+    "op11_merkle_manifest": OP11_SQL,
 }
