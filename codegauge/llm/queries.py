@@ -7,6 +7,7 @@ from codegauge.llm.merkle import OP11_SQL, op11_merkle_manifest
 from codegauge.llm.near_dedup import OP4_SQL, op4_near_dedup
 from codegauge.llm.packing import op10_packing
 from codegauge.llm.quality import op5_quality
+from codegauge.llm.ranked_search import OP12_SQL, op12_ranked_search
 from codegauge.llm.secret_scan import op7_secret_scan
 from codegauge.llm.token_counts import op3_token_counts
 from codegauge.llm.token_output import op6_token_output
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_ranked_search": op12_ranked_search,
 }
 
 ORACLE = {
@@ -31,4 +33,5 @@ ORACLE = {
     "op2_exact_dedup": OP2_SQL,
     "op4_near_dedup": OP4_SQL,
     "op11_merkle_manifest": OP11_SQL,
+    "op12_ranked_search": OP12_SQL,
 }
