@@ -147,7 +147,7 @@ class Lists:
     def __init__(self, row: dict, weights: dict[bytes, int], documents: int, total: int):
         self.doc_ids = row["doc_ids"]
         ends = np.array(row["ends"], np.int64)
-        starts = np.append(0, ends[:-1])
+        starts = ends - np.array(row["dfs"], np.int64)
         m = np.array([75 + 25 * n * documents // total for n in row["lengths"]], np.int64)
         steps, tf = np.frombuffer(row["docs"], "<u4").astype(np.int64), np.frombuffer(row["tfs"], "<u4").astype(np.int64)
         self.docs: dict[bytes, np.ndarray] = {}
