@@ -6,6 +6,7 @@ from codegauge.llm.language_id import op9_language_id
 from codegauge.llm.merkle import OP11_SQL, op11_merkle_manifest
 from codegauge.llm.near_dedup import OP4_SQL, op4_near_dedup
 from codegauge.llm.packing import op10_packing
+from codegauge.llm.private_data import op13_private_data
 from codegauge.llm.quality import op5_quality
 from codegauge.llm.ranked_search import OP12_SQL, op12_ranked_search
 from codegauge.llm.secret_scan import op7_secret_scan
@@ -26,6 +27,7 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_ranked_search": op12_ranked_search,
+    "op13_private_data": op13_private_data,
 }
 
 ORACLE = {
