@@ -191,12 +191,41 @@ def test_recommendations(spark):
         advice.first_handler("x", [])
 
 
-def test_chains_have_no_longest(spark, monkeypatch):
-    monkeypatch.setattr(graph, "MOST_HOPS", 3, raising=False)
-    monkeypatch.setattr(graph, "CUT", 2, raising=False)
-    links = [("a", f"c{i}", f"c{i - 1}" if i else None) for i in range(8)]
-    got = {r.name: r.depth for r in graph.depths(spark.createDataFrame(links, "codebase string, name string, parent string")).collect()}
-    assert got == {f"c{i}": i for i in range(8)}
+def walked(parents):
+    """Depths by following each name; parents: (scope, name) to parent."""
+    out = {}
+    for scope, name in parents:
+        seen, at, hops = set(), name, 0
+        while at not in seen and (scope, at) in parents and parents[scope, at] is not None:
+            seen.add(at)
+            at = parents[scope, at]
+            hops += 1
+        out[scope, name] = hops
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_depths_against_walks(spark, monkeypatch, seed):
+    """Forests, unknown parents, cycles with tails, and a hot ancestor."""
+    from codegauge.operators import shared
+
+    monkeypatch.setattr(shared, "HOT", 16)
+    rng = random.Random(seed)
+    parents = {(s, f"n{i}"): rng.choice([None, "gone", *(f"n{rng.randrange(i - 3 if i > 3 else 0, i + 2)}" for _ in range(9))]) for s in "ab" for i in range(120)}
+    parents |= {("a", f"leaf{i}"): "n7" for i in range(60)} | {("c", f"r{i}"): f"r{(i + 1) % 23}" for i in range(23)} | {("c", f"t{i}"): f"t{i - 1}" if i else "r5" for i in range(40)} | {("c", "self"): "self"}
+    df = spark.createDataFrame([(s, n, p) for (s, n), p in parents.items()], "codebase string, name string, parent string")
+    assert {(r.codebase, r.name): r.depth for r in graph.depths(df).collect()} == walked(parents)
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    n, rounds = 100_000, []
+    monkeypatch.setattr(graph, "stored", lambda df, f=graph.stored: rounds.append(1) or f(df))
+    links = spark.range(n).selectExpr("'a' AS codebase", "concat('c', id) AS name", "IF(id > 0, concat('c', id - 1), NULL) AS parent")
+    wrong = graph.depths(links).where("concat('c', depth) != name").count()
+    assert wrong == 0 and len(rounds) < 20
+
+
+def test_methods_in_chains_are_one_component(spark):
     uses = [("a", f"m{i}", f"f{j}") for i in range(8) for j in (i, i + 1)]
     row = graph.cohesion(spark.createDataFrame(uses, "g string, method string, field string"), "g", most=0).first()
     assert row.lcom == 1
