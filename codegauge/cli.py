@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import os
 import sys
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from codegauge.operators import facts as facts_
+from codegauge.operators.metrics import Tables
+from codegauge.plans import advice
 from codegauge.plans import gates as gates_
 from codegauge.plans import score as score_
 from codegauge.plans import sinks
@@ -26,6 +30,16 @@ def tables(spark: SparkSession, root: str, lang: str):
     return sources, dependencies(files.manifests(spark, root)) if os.path.isdir(root) else None
 
 
+def recommended(args: argparse.Namespace, sources, rows, totals, lang: str):
+    """Recommendations by the function that --recommend names."""
+    module, _, name = args.recommend.partition(":")
+    facts = facts_.extract(sources)
+    t = Tables(sources, facts)
+    found = facts_.view(facts, "finding", [], ["test_name", "severity", "issue_text"]).withColumnRenamed("name", "test_id")
+    prompts = advice.prompts(rows, totals, sources, found, advice.top_functions(t))
+    return advice.advise(prompts, getattr(importlib.import_module(module), name), args.model, at=args.answers)
+
+
 def run(args: argparse.Namespace, spark: SparkSession) -> int:
     if not os.path.exists(args.path):
         print(f"no such path: {args.path}", file=sys.stderr)
@@ -47,7 +61,8 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
     elif args.command == "gate":
         text = ""
     else:
-        got = sinks.report(rows, totals, args.format).first()
+        told = recommended(args, sources, rows, totals, lang) if args.recommend else None
+        got = sinks.report(rows, totals, args.format, told).first()
         text = got.report if got else f"{args.path}: no sources, score 0.000\n"
     if args.output:
         with open(args.output, "w", encoding="utf-8") as f:
@@ -63,6 +78,8 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
             print(r.line)
         verdict = gates_.verdicts(evaluated).first()
         passed = verdict.passed if verdict else True
+        evaluated.unpersist()
+    rows.unpersist()
     return gates_.exit_code(value, passed, getattr(args, "min_score", None))
 
 
@@ -80,6 +97,9 @@ def parser() -> argparse.ArgumentParser:
         if name == "analyze":
             c.add_argument("--format", choices=sorted(sinks.FORMATS), default="terminal")
             c.add_argument("--min-score", type=float)
+            c.add_argument("--recommend", metavar="MODULE:FUNCTION", help="a function from a prompt to a model's answer")
+            c.add_argument("--model", default="model")
+            c.add_argument("--answers", help="a folder in which answers are kept")
             c.add_argument("--gate", action="store_true")
         if name == "badge":
             c.add_argument("--format", choices=["url", "json", "markdown"], default="url")

@@ -1,7 +1,7 @@
 """The engine's queries over the driver's tables, each with the SQL that says the same.
 
-Three kinds: operators on data they are made for (texts), operators on relational data of the same shape, and code metrics on
-the corpus of `codegauge.samples`, whose expected values the SQL states.
+Three kinds: operators on data they are made for (texts), operators on relational data of the same shape, and, in `code_queries`,
+code metrics on sources made from a table.
 """
 
 from __future__ import annotations
@@ -9,11 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codegauge import samples
+from codegauge import code_queries
 from codegauge.functions import curves, text
 from codegauge.operators import duplication, graph, secrets, security, smells
-from codegauge.operators import facts as facts_
-from codegauge.operators.metrics import REGISTRY, Tables, hotspots
 from codegauge.plans import advice, gates, score, sinks
 from codegauge.sources import dependencies as deps_
 from codegauge.sources import files
@@ -405,128 +403,14 @@ SELECT codebase, 'https://img.shields.io/badge/quality-' || f || '-' || c || '.s
 """
 
 
-# code metrics on the sample corpus
-
-
-def corpus(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(samples.rows(), samples.SCHEMA)
-
-
-#: Hand-checked raw values: codebase, metric, value.
-GOLDEN = [
-    *((c, "Cyclomatic Complexity", v) for c, v in [("cc_branchy", 5.0), ("cc_switch", 4.0), ("cc_mean", 1.5), ("bad_file", 1.0), ("kt_ab", 2.0)]),
-    *((c, "Cognitive Complexity", v) for c, v in [("cog_if", 1.0), ("cog_ifelse", 2.0), ("cog_elif", 2.0), ("cog_elif_else", 3.0), ("cog_nested", 3.0), ("cog_and", 2.0), ("cog_mixed", 3.0), ("cog_recursion", 2.0)]),
-    ("rfc_a", "rfc", 4.0), ("dit_chain", "dit", 3.0), ("dit_ext", "dit", 1.0), ("kt_service", "dit", 1.0), ("mhf_mix", "mhf", 0.666667), ("kt_service", "mhf", 0.333333),
-    ("cbo_hub", "Coupling Between Objects", 3.0), ("cbo_mean", "Coupling Between Objects", 1.0),
-    *((c, "Lack of Cohesion of Methods", v) for c, v in [("lcom_one", 1.0), ("lcom_two", 2.0), ("lcom_single", 0.0), ("lcom_noshare", 1.0), ("lcom_isolated", 2.0)]),
-    ("doc_full", "Documentation Coverage", 100.0), ("doc_part", "Documentation Coverage", 75.0),
-    ("sec_hash_cmd", "security", 15.1), ("sec_sql", "security", 5.61), ("sec_random", "security", 1.2), ("sec_xxe", "security", 4.675), ("smell_params", "Code Smell Density", 350.0), ("tsmell", "Code Smell Density", 1200.0),
-]
-
-
-def code_metrics(spark, sf):
-    """Raw metric values of the corpus for which values are known."""
-    known = spark.createDataFrame([(c, m) for c, m, _ in GOLDEN], "codebase string, metric string")
-    rows = score.analyze(corpus(spark))
-    return rows.join(F.broadcast(known), ["codebase", "metric"]).select("codebase", "metric", _r("raw").alias("raw"))
-
-
-CODE_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{m}', {v}::DOUBLE)" for c, m, v in GOLDEN) + ") AS t(codebase, metric, raw)"
-
-
-def code_scores(spark, sf):
-    return score.scored(score.analyze(corpus(spark))).select("codebase", _r(score.SCORE).alias(score.SCORE))
-
-
-def code_findings(spark, sf):
-    f = facts_.view(facts_.extract(corpus(spark)), "finding", [], ["severity", "confidence", "cwe_id"])
-    return f.select("codebase", F.col("name").alias("test_id"), F.col("line").cast("long"), "severity", _r(security.score(F.col("severity"), F.col("confidence"), F.col("cwe_id"))).alias("score"))
-
-
-CODE_FINDINGS_SQL = """SELECT * FROM (VALUES ('sec_hash_cmd', 'B303', 1::BIGINT, 'MEDIUM', 5.5::DOUBLE), ('sec_hash_cmd', 'B605', 1, 'HIGH', 9.6), ('sec_sql', 'B608', 1, 'MEDIUM', 5.61),
-  ('sec_random', 'B311', 1, 'LOW', 1.2), ('sec_xxe', 'B313', 1, 'MEDIUM', 4.675)) AS t(codebase, test_id, line, severity, score)"""
-
-
-def code_smells(spark, sf):
-    return smells.detect_all(facts_.extract(corpus(spark))).select("codebase", "id", "category", "severity", "severity_weight")
-
-
-CODE_SMELLS_SQL = """SELECT * FROM (VALUES ('smell_params', 'LONG_PARAMETER_LIST', 'IMPLEMENTATION', 'LOW', 1.0::DOUBLE), ('tsmell', 'EMPTY_TEST', 'TEST', 'HIGH', 3.0), ('tsmell', 'SLEEPY_TEST', 'TEST', 'HIGH', 3.0)) AS t(codebase, id, category, severity, severity_weight)"""
-
-
-#: Numbers of branches, nesting, private and public methods and superclasses of a part's sources.
-_SHAPE = {"n": "p_size % 5", "d": "p_partkey % 4", "priv": "p_size % 3", "pub": "p_partkey % 3", "e": "p_partkey % 5"}
-
-
-def _generated(spark, sf) -> DataFrame:
-    """A Java and a Kotlin file for each part, whose shape follows from its key and size."""
-    p = table(spark, sf, "part").selectExpr("CAST(p_partkey AS STRING) AS key", *(f"CAST({e} AS INT) AS {c}" for c, e in _SHAPE.items()))
-
-    def each(count: str, line: str):
-        return F.expr(f"concat_ws('', transform(filter(sequence(0, {count}), i -> i > 0), i -> {line}))")
-
-    body = lambda test: (F.expr(f"repeat('    if ({test}) {{ g(a); }}\\n', n)"), F.expr(f"repeat('    if ({test}) {{\\n', d)"), F.lit("    g(a);\n"), F.expr("repeat('    }\\n', d)"))
-    java = F.concat(
-        each("e", "concat('class C', i, IF(i > 1, concat(' extends C', i - 1), ''), ' {}\\n')"), F.expr("concat('class P', IF(e > 0, concat(' extends C', e), ''), ' {\\n  int x;\\n  int y;\\n  public void f(int a) {\\n')"),
-        *body("a > 0"), F.lit("  }\n"), each("priv", "concat('  private int p', i, '() { return y; }\\n')"), each("pub", "concat('  public int q', i, '() { return x; }\\n')"), F.lit("}\n"),
-    )
-    kotlin = F.concat(
-        F.lit("class P {\n  fun f(a: Int) {\n"), *body("a > 0"), F.lit("  }\n"),
-        each("priv", "concat('  private fun p', i, '(): Int { return 1 }\\n')"), each("pub", "concat('  fun q', i, '(): Int { return 2 }\\n')"), F.lit("}\n"),
-    )
-    rows = [p.select(F.concat(F.lit(lang), "key").alias("codebase"), F.lit(f"src/main/{lang}/P.{end}").alias("path"), F.lit(lang).alias("lang"), source.alias("source")) for lang, end, source in (("java", "java", java), ("kotlin", "kt", kotlin))]
-    return rows[0].unionByName(rows[1])
-
-
-def generated_metrics(spark, sf):
-    """Metrics of sources made from every part; the SQL derives them from the same columns by the metrics' definitions."""
-    stated = F.col("metric").isin("Cyclomatic Complexity", "Cognitive Complexity", "mhf") | ((F.col("metric").isin("dit", "Lack of Cohesion of Methods")) & F.col("codebase").startswith("java"))
-    return score.analyze(_generated(spark, sf)).where(stated).select("codebase", "metric", _r("raw").alias("raw"))
-
-
-GENERATED_SQL = f"""
-WITH p AS (SELECT p_partkey::VARCHAR AS key, {", ".join(f"({e})::INT AS {c}" for c, e in _SHAPE.items())} FROM part),
-m AS (SELECT *, 1 + priv + pub AS methods FROM p),
-b AS (
-  SELECT lang || key AS codebase, lang, e, unnest(['Cyclomatic Complexity', 'Cognitive Complexity', 'mhf', 'dit', 'Lack of Cohesion of Methods']) AS metric,
-         unnest([(methods + n + d) / methods, (n + d * (d + 1) / 2) / methods, priv / methods, e,
-                 CASE WHEN methods = 1 THEN 0 WHEN priv < 2 AND pub < 2 THEN 1 ELSE 1 + (priv > 0)::INT + (pub > 0)::INT END / (1 + e)])::DOUBLE AS raw
-  FROM m, (VALUES ('java'), ('kotlin')) AS l(lang))
-SELECT codebase, metric, round(raw, 6) AS raw FROM b WHERE lang = 'java' OR metric NOT IN ('dit', 'Lack of Cohesion of Methods')
-"""
-
-
-def syntax_nodes(spark, sf):
-    return facts_.nodes(corpus(spark)).groupBy("codebase", "kind").agg(F.count(F.lit(1)).alias("n"))
-
-
-def code_reports(spark, sf):
-    rows = score.analyze(corpus(spark))
-    totals = score.scored(rows)
-    return sinks.gathered(rows, totals).select("codebase", *(f().alias(k.replace("-", "_")) for k, f in sinks.FORMATS.items()))
-
-
-def code_hotspots(spark, sf):
-    src = corpus(spark)
-    return hotspots(Tables(src, facts_.extract(src)), threshold=3).select("codebase", "path", "name", "line", "cognitive")
-
-
-def code_prompts(spark, sf):
-    src = corpus(spark).where("lang = 'java'")
-    t = Tables(src, facts_.extract(src))
-    rows = score.results(t, REGISTRY["java"])
-    found = facts_.view(t.facts, "finding", [], ["test_name", "severity", "issue_text"]).withColumnRenamed("name", "test_id")
-    return advice.prompts(rows, score.scored(rows), src, found, advice.top_functions(t, least=2))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         duplication_across, duplication_within, line_counts, secrets_exposure, path_predicates, normalisation_curves, geometric_mean_score, mixed_scores, quality_gates, hierarchy_depth,
-        generated_metrics, cohesion_of_orders, finding_density, smell_counts, severity_counts, top_issues, manifest_dependencies, vulnerability_exposure,
-        lookup_answers, parsed_recommendations, status_changes, supplier_badges, code_metrics, code_scores, code_findings, code_smells, syntax_nodes, code_reports, code_hotspots, code_prompts,
+        cohesion_of_orders, finding_density, smell_counts, severity_counts, top_issues, manifest_dependencies, vulnerability_exposure,
+        lookup_answers, parsed_recommendations, status_changes, supplier_badges,
     )
-}
+} | code_queries.QUERIES
 
 ORACLE = {
     "duplication_across": DUPLICATION_SQL,
@@ -539,7 +423,6 @@ ORACLE = {
     "mixed_scores": MIXED_SQL,
     "quality_gates": GATES_SQL,
     "hierarchy_depth": DEPTH_SQL,
-    "generated_metrics": GENERATED_SQL,
     "cohesion_of_orders": COHESION_SQL,
     "finding_density": FINDINGS_SQL,
     "smell_counts": SMELLS_SQL,
@@ -551,7 +434,4 @@ ORACLE = {
     "parsed_recommendations": RECS_SQL,
     "status_changes": CHANGES_SQL,
     "supplier_badges": BADGES_SQL,
-    "code_metrics": CODE_SQL,
-    "code_findings": CODE_FINDINGS_SQL,
-    "code_smells": CODE_SMELLS_SQL,
-}
+} | code_queries.oracle(_SQL_CURVES)

@@ -7,19 +7,24 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from codegauge import cli, queries, samples
+from codegauge import cli, queries
 from codegauge.operators import facts, metrics
 from codegauge.plans import advice, score, sinks
 from codegauge.streaming import follow, keep_facts, latest
+from tests import samples
 
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+def corpus_of(spark):
+    return spark.createDataFrame(samples.rows(), samples.SCHEMA)
+
+
 @pytest.fixture(scope="module")
 def results(spark):
-    rows = score.analyze(queries.corpus(spark)).cache()
+    rows = score.analyze(corpus_of(spark)).cache()
     return rows, score.scored(rows)
 
 
@@ -98,7 +103,11 @@ def test_reports(results, spark):
 
 
 def test_prompts_and_answers(spark):
-    p = queries.code_prompts(spark, SF)
+    src = corpus_of(spark).where("lang = 'java'")
+    t = metrics.Tables(src, facts.extract(src))
+    rows = score.results(t, metrics.REGISTRY["java"])
+    found = facts.view(t.facts, "finding", [], ["test_name", "severity", "issue_text"]).withColumnRenamed("name", "test_id")
+    p = advice.prompts(rows, score.scored(rows), src, found, advice.top_functions(t, least=2))
     text = {r.codebase: r.prompt for r in p.collect()}
     assert "B303" in text["sec_hash_cmd"] and "f in src/main/java/A.java:1" in text["cc_branchy"]
     got = advice.advise(p.where("codebase = 'cc_mean'"), lambda prompt: "## [low] T\n**Description:** d " + prompt[:3], "m").first()
@@ -119,7 +128,7 @@ def test_cli(tmp_path, spark, capsys):
 
 def test_streamed_facts(spark, tmp_path):
     src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
-    corpus = queries.corpus(spark)
+    corpus = corpus_of(spark)
     corpus.where("codebase < 'd'").write.mode("append").parquet(src)
     keep_facts(follow(spark, src), out, cp).awaitTermination()
     corpus.where("codebase >= 'd'").write.mode("append").parquet(src)
@@ -160,5 +169,5 @@ def test_nothing_else_imports_the_corpus_part():
 
 
 def test_files_are_parsed_once(spark):
-    plan = score.analyze(queries.corpus(spark), "java")._jdf.queryExecution().toString()
+    plan = score.analyze(corpus_of(spark), "java")._jdf.queryExecution().toString()
     assert "MapInArrow" not in plan  # the facts are read from the checkpoint folder

@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -163,7 +164,7 @@ def test_scan(spark, tmp_path):
     assert {r.package for r in dependencies.dependencies(files.manifests(spark, root)).collect()} == {"a:b"}
 
 
-def test_dependencies(spark):
+def test_dependencies(spark, tmp_path):
     pom = "<project><dependencyManagement><dependencies><dependency><groupId>g</groupId><artifactId>a</artifactId><version>1</version></dependency></dependencies></dependencyManagement><dependencies><dependency>\n<groupId> g2 </groupId><artifactId>b</artifactId><version>${v}</version></dependency><dependency><groupId>g3</groupId><artifactId>c</artifactId></dependency></dependencies></project>"
     gradle = "dependencies {\n implementation 'x:y:1.0'\n api(\"p:q:2\")\n custom 'n:o:3'\n}"
     rows = [("c", "pom.xml", "pom", pom), ("c", "build.gradle", "gradle", gradle), ("c", "s/build.gradle", "gradle", gradle), ("c", "bad", "pom", "<project><dependency>"), ("c", "xxe", "pom", "<!DOCTYPE x>" + pom), ("c", "n", "gradle", None)]
@@ -173,12 +174,13 @@ def test_dependencies(spark):
     assert dependencies.exposure(d, v).first().raw == 6.0
     answers = {"x:y": '{"vulns": [{"id": "V1", "summary": "s"}, {"id": "V2"}]}', "p:q": '{"vulns": []}'}
 
-    def fetch(eco, package, version):
+    def fetch(question):
+        package = json.loads(question)["package"]["name"]
         if package == "g:a":
             raise OSError
         return answers.get(package, "no json")
 
-    assert sorted((r.package, r.id, r.summary) for r in dependencies.lookup(d, fetch).collect()) == [("x:y", "V1", "s"), ("x:y", "V2", "")]
+    assert sorted((r.package, r.id, r.summary) for r in dependencies.lookup(d, fetch, str(tmp_path / "a"), wait=0.01).collect()) == [("x:y", "V1", "s"), ("x:y", "V2", "")]
 
 
 def test_recommendations(spark):
