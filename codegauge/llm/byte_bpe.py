@@ -2,8 +2,8 @@
 
 The model is serialised here, field by field, as the library's public message: one piece for each token, its bytes
 mapped to printable characters, its score the negative rank, so that the best merge is the lowest rank; identity
-normalisation, no dummy prefix, spaces as they are. A text is cut by the pattern, each match is encoded separately,
-and ids are decoded by the inverse mapping. Distinct matches are encoded once for each task while they fit into a cache of bounded size.
+normalisation, no dummy prefix, spaces as they are. A text is cut by the pattern, each match is encoded separately by the model,
+and ids are decoded from the model's pieces by the inverse mapping. Distinct matches are encoded once for each task while they fit into a cache of bounded size.
 
 Nulls and odd input: a null text is empty (no ids); lone surrogates can't occur in Spark's strings; a null doc_id
 is passed on; repeated rows are encoded each; an empty table gives an empty result; other columns are not read.
@@ -90,17 +90,16 @@ class Codec(dict):
         import regex
         import sentencepiece
 
-        self.tokens = read_ranks(path)
-        self.whole = {t: i for i, t in enumerate(self.tokens)}
-        self.sp = sentencepiece.SentencePieceProcessor(model_proto=serialise(self.tokens))
+        tokens = read_ranks(path)
+        self.sp = sentencepiece.SentencePieceProcessor(model_proto=serialise(tokens))
         self.chars = byte_characters()
         self.find = regex.compile(pattern).findall
-        self.names = [str(i) for i in range(len(self.tokens))]
+        self.names = [str(i) for i in range(len(tokens))]
+        self.pieces = [self.sp.id_to_piece(i) for i in range(len(tokens))]
+        self.back = {ord(c): chr(b) for b, c in enumerate(self.chars)}
 
     def __missing__(self, match: str) -> tuple[int, ...]:
-        raw = match.encode()
-        one = self.whole.get(raw)
-        ids = (one,) if one is not None else tuple(self.sp.encode("".join(map(self.chars.__getitem__, raw))))
+        ids = tuple(self.sp.encode("".join(map(self.chars.__getitem__, match.encode()))))
         if len(match) <= LONG:
             if len(self) >= CACHE:
                 self.clear()
@@ -111,7 +110,8 @@ class Codec(dict):
         return list(chain.from_iterable(map(self.__getitem__, self.find(text))))
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+        """The model's pieces, their characters mapped back to bytes."""
+        return "".join(map(self.pieces.__getitem__, ids)).translate(self.back).encode("latin-1")
 
 
 @lru_cache(maxsize=2)

@@ -6,7 +6,7 @@
 3. In a shard pieces go by decreasing length into the fullest row that has room for them. A segment tree that counts rows by free
    capacity finds it in the logarithm of the window's size.
 4. A row holds its ids, padded; the cumulative lengths of its segments, from 0; and positions that restart at 0 with each segment.
-   `matrices` stacks rows into blocks for writing.
+   `matrices` stacks rows into blocks, which are written; `rows_of` takes them apart again.
 
 Nulls and odd input: a null text is empty and has the end id only; a null doc_id is passed on; repeated rows are packed each; equal lengths
 go by (doc_id, ids); an empty table gives an empty result; other columns are not read.
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codegauge.llm.arrow_text import by_group, in_arrow, texts
-from codegauge.llm.common import read_table, tune, written
+from codegauge.llm.common import read_table, scratch, tune, written
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: The id after each document and the padding: the first that the ranks leave free.
@@ -39,6 +39,8 @@ WHOLE = 1 << 62
 IDS, LENGTHS = np.dtype("<u2"), np.dtype("<i4")
 
 _ROW = "sequence_id long, doc_ids array<long>, starts array<long>, cu_seqlens array<int>, ids binary, positions binary"
+_ROW_KINDS = {"sequence_id": pa.int64(), "doc_ids": pa.list_(pa.int64()), "starts": pa.list_(pa.int64()), "cu_seqlens": pa.list_(pa.int32()), "ids": pa.binary(), "positions": pa.binary()}
+_MATRIX = "n_rows int, sequence_ids array<long>, ids binary, positions binary, cu_seqlens binary, n_segments array<int>, doc_ids array<long>, starts array<long>"
 
 
 @lru_cache(maxsize=2)
@@ -129,11 +131,9 @@ def sequences(docs: DataFrame, path: str = RANKS, end: int = END, window: int =
     total = tokens.agg(F.coalesce(F.sum(F.col("n") % window), F.lit(0))).first()[0]
     shards = max(1, -(-total // shard_tokens))
     wide = IDS.itemsize
-    names = [c.split()[0] for c in _ROW.split(", ")]
-    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
 
     def table(rows: list[tuple], make=pa.table):
-        return make({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(zip(names, kinds, strict=True))})
+        return make({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(_ROW_KINDS.items())})
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -161,7 +161,7 @@ def sequences(docs: DataFrame, path: str = RANKS, end: int = END, window: int =
 
 
 def matrices(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """n_rows, sequence_ids, ids and positions (n_rows x window, 16-bit), cu_seqlens (32-bit, all rows') and n_segments of each block of rows; no shuffle."""
+    """n_rows, sequence_ids, ids and positions (n_rows x window, 16-bit), cu_seqlens (32-bit, all rows'), n_segments, doc_ids and starts of each block of rows; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -176,18 +176,39 @@ def matrices(rows: DataFrame, block: int = BLOCK) -> DataFrame:
                         "positions": pa.array([b"".join(part.column("positions").to_pylist())], pa.binary()),
                         "cu_seqlens": pa.array([np.concatenate([np.array(x, LENGTHS) for x in lens]).tobytes()], pa.binary()),
                         "n_segments": pa.array([[len(x) - 1 for x in lens]], pa.list_(pa.int32())),
+                        "doc_ids": pa.array([[d for x in part.column("doc_ids").to_pylist() for d in x]], pa.list_(pa.int64())),
+                        "starts": pa.array([[d for x in part.column("starts").to_pylist() for d in x]], pa.list_(pa.int64())),
                     }
                 )
 
-    return in_arrow(rows, run, "n_rows int, sequence_ids array<long>, ids binary, positions binary, cu_seqlens binary, n_segments array<int>")
+    return in_arrow(rows, run, _MATRIX)
+
+
+def rows_of(blocks: DataFrame) -> DataFrame:
+    """The rows of matrices, as `sequences` gives them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                ids, positions = (np.frombuffer(r[c], IDS).reshape(r["n_rows"], -1) for c in ("ids", "positions"))
+                cu, at, seg = np.frombuffer(r["cu_seqlens"], LENGTHS), 0, 0
+                rows = []
+                for k, n in enumerate(r["n_segments"]):
+                    rows.append((r["sequence_ids"][k], r["doc_ids"][seg : seg + n], r["starts"][seg : seg + n], cu[at : at + n + 1].tolist(), ids[k].tobytes(), positions[k].tobytes()))
+                    at, seg = at + n + 1, seg + n
+                yield pa.record_batch({c: pa.array([x[i] for x in rows], t) for i, (c, t) in enumerate(_ROW_KINDS.items())})
+
+    return in_arrow(blocks, run, _ROW)
 
 
 def write_matrices(docs: DataFrame, path: str, **options) -> None:
     """The packed corpus as a table of matrices."""
-    matrices(sequences(docs, **options)).write.parquet(path)
+    matrices(sequences(docs, **options)).write.option("compression", "zstd").parquet(path)
 
 
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each packed sequence with its documents, and digests of its ids and positions."""
-    rows = sequences(read_table(spark, sf_dir, "documents"))
+    """Each packed sequence with its documents, and digests of its ids and positions, taken from the matrices that were written."""
+    at = scratch(spark, "output-matrices")
+    write_matrices(read_table(spark, sf_dir, "documents"), at)
+    rows = rows_of(spark.read.schema(_MATRIX).parquet(at))
     return rows.select("sequence_id", "doc_ids", "starts", "cu_seqlens", F.element_at("cu_seqlens", -1).alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), F.crc32("positions").alias("positions_crc32"))

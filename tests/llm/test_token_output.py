@@ -70,6 +70,19 @@ def test_matrices(spark, docs, odd, tmp_path):
         assert all(c[0] == 0 for c in cu) and ids.shape == np.frombuffer(b.positions, "<u2").reshape(b.n_rows, 128).shape
     stacked = sorted(zlib.crc32(np.frombuffer(b.ids, "<u2").reshape(b.n_rows, 128)[k].tobytes()) for b in blocks for k in range(b.n_rows))
     assert stacked == sorted(zlib.crc32(r.ids) for r in rows.values())
+    back = {r.sequence_id: r for r in op.rows_of(spark.read.parquet(str(tmp_path / "m"))).collect()}
+    assert {k: (sorted(map(str, r.doc_ids)), r.cu_seqlens[-1], bytes(r.positions)) for k, r in back.items()} == {k: (sorted(map(str, r.doc_ids)), r.cu_seqlens[-1], bytes(r.positions)) for k, r in rows.items()}
+    encode = op.encoding(op.RANKS).encode_ordinary
+    check(back.values(), {i: [*encode(t or ""), op.END] for i, t, _ in odd[:9]}, 128)
+
+
+def test_query_reads_what_was_written(spark, docs, odd, tmp_path, monkeypatch):
+    """The digests are those of the written matrices: of other matrices they differ."""
+    docs(odd[:9]).write.parquet(str(tmp_path / "documents.parquet"))
+    want = op.op6_token_output(spark, str(tmp_path)).collect()
+    assert sum(r.n_tokens for r in want) == sum(r.cu_seqlens[-1] for r in op.sequences(docs(odd[:9])).collect())
+    monkeypatch.setattr(op, "write_matrices", lambda d, path, f=op.write_matrices: f(d.where("doc_id = 1"), path))
+    assert [r.doc_ids for r in op.op6_token_output(spark, str(tmp_path)).collect()] == [[1]]
 
 
 def test_odd_rows(docs, odd):

@@ -36,6 +36,16 @@ def test_byte_bpe_round_trip(tiktoken_like, text):
     assert ids == tiktoken_like.encode_ordinary(text) and c.decode(ids) == text.encode()
 
 
+def test_every_token_comes_from_the_model_and_goes_back_through_its_pieces():
+    """No match is looked up beside the model: each token of the vocabulary is what the model merges its bytes to."""
+    tokens = byte_bpe.read_ranks(byte_bpe.RANKS)
+    c = byte_bpe.Codec(byte_bpe.RANKS, public_tokenizers.PATTERN)
+    assert all(c.sp.encode("".join(c.chars[b] for b in t)) == [i] and c.decode([i]) == t for i, t in enumerate(tokens))
+    asked = []
+    c.sp = type("Counted", (), {"encode": lambda self, s, f=c.sp.encode: asked.append(s) or f(s)})()
+    assert len(c.encode("the the cat")) == 3 and asked == ["the", "\u0120the", "\u0120cat"]
+
+
 @given(st.lists(TEXT, max_size=6))
 @settings(max_examples=60, deadline=None)
 def test_words_encode_as_whole_texts(rows):
