@@ -1,4 +1,5 @@
 import hashlib
+import os
 import re
 from collections import Counter, defaultdict
 
@@ -49,3 +50,15 @@ def test_state_is_on_disk_and_has_no_watermark(spark, docs, odd):
     op.groups(docs(odd)).count()
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
     assert "RocksDB" in op._STATE["spark.sql.streaming.stateStore.providerClass"]
+
+
+def test_state_is_met_by_later_batches(docs, odd, monkeypatch):
+    """Many micro-batches, each of one file: groups reach over them, and the result is that of one batch."""
+    at = []
+    monkeypatch.setattr(op, "scratch", lambda spark, name, f=op.scratch: at.append(f(spark, name)) or at[-1])
+    monkeypatch.setattr(op, "BATCH_BYTES", "1")
+    pairs = odd + [(100 + i, f"a  b{i % 5}" if i % 2 else f"ab{i % 5} ", "en") for i in range(60)]
+    got = op.groups(docs(pairs).repartition(6)).collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == brute(pairs)[0]
+    batches = [n for n in os.listdir(next(a for a in at if "dedup-state" in a).removeprefix("file://") + "/commits") if n.isdigit()]
+    assert len(batches) >= 3

@@ -1,4 +1,7 @@
+import collections
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -92,3 +95,39 @@ def test_quality_without_labels(spark, docs):
     d = docs([(i, "a b", "en") for i in range(20)])
     assert all(r.score > 0.99 for r in quality.score(d, quality.fit(d, one)).collect())
     assert quality.score(docs([]), quality.fit(docs([]), none)).count() == 0
+
+
+def plain_statistics(text):
+    """The statistics of one text, word by word."""
+    raw = text.encode()
+    words = [w for w in re.split(rb"[\x20\x09-\x0d]+", raw) if w]
+    chars = collections.Counter(
+        "upper" if 65 <= b <= 90 else "lower" if 97 <= b <= 122 else "digit" if 48 <= b <= 57 else "space" if b in b" \t\n\x0b\x0c\r" else "mark" if b in b".,;:'\"-?()" else "bang" if b == 33 else "high" if b >= 128 else "other"
+        for b in raw
+    )
+    n, k, lines = max(1, len(raw)), max(1, len(words)), raw.split(b"\n")
+    letters, size = chars["upper"] + chars["lower"] + chars["high"], [len(w) for w in words]
+    times = collections.Counter(words)
+    pairs = set(zip(words, words[1:]))
+    return [
+        math.log1p(len(raw)), math.log1p(len(words)), sum(size) / k, math.log1p(max(size, default=0)), chars["upper"] / max(1, letters), letters / n, chars["digit"] / n, chars["space"] / n, chars["mark"] / n, chars["other"] / n,
+        chars["bang"] / n, chars["high"] / n, len(times) / k, max(times.values(), default=0) / k, len(pairs) / max(1, k - 1), len(lines), len(set(lines)) / len(lines), math.log1p(len(raw) / len(lines)),
+        sum(s <= 2 for s in size) / k, sum(s >= 15 for s in size) / k,
+    ]
+
+
+def test_statistics_against_a_plain_version(odd):
+    rng = random.Random(12)
+    texts = [t or "" for _, t, _ in odd] + ["a b\n\na b!", "x" * 40 + " é漢 1,2", "\n", " a", "a ", "A! (b) c"] + ["".join(rng.choice("ab é\n\t.!1Zx") for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    got = quality.statistics([t.encode() for t in texts])
+    want = np.array([plain_statistics(t) for t in texts])
+    for c, name in enumerate(quality.STATISTICS):
+        assert np.allclose(got[:, c], want[:, c]), (name, [t for t, a, b in zip(texts, got[:, c], want[:, c], strict=True) if not np.isclose(a, b)][:3])
+
+
+def test_rules_as_columns_score_as_the_arrays_do(spark):
+    rng = np.random.default_rng(4)
+    x = rng.random((300, len(quality.STATISTICS)))
+    model = quality.learn(x, (x[:, 0] + x[:, 3] > 1).astype(float))
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"{c} double" for c in quality.STATISTICS))
+    assert model.rules and np.allclose([r.s for r in df.select(model.column().alias("s")).collect()], model.scores(x))
