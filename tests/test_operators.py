@@ -212,6 +212,7 @@ def test_depths_against_walks(spark, monkeypatch, seed):
     from codegauge.operators import shared
 
     monkeypatch.setattr(shared, "HOT", 16)
+    monkeypatch.setattr(shared, "LIGHT", 16)
     rng = random.Random(seed)
     parents = {(s, f"n{i}"): rng.choice([None, "gone", *(f"n{rng.randrange(i - 3 if i > 3 else 0, i + 2)}" for _ in range(9))]) for s in "ab" for i in range(120)}
     parents |= {("a", f"leaf{i}"): "n7" for i in range(60)} | {("c", f"r{i}"): f"r{(i + 1) % 23}" for i in range(23)} | {("c", f"t{i}"): f"t{i - 1}" if i else "r5" for i in range(40)} | {("c", "self"): "self"}

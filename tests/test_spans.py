@@ -80,6 +80,7 @@ def brute(rows, size):
 def test_repeats_against_pairs(spark, monkeypatch, seed, hot):
     """Random sequences of few tokens, copies, a run of one token, an empty and a null one."""
     monkeypatch.setattr(shared, "HOT", hot)
+    monkeypatch.setattr(shared, "LIGHT", hot)
     rng = random.Random(seed)
     rows = [(rng.choice("ab"), f"f{i}", [rng.choice([1, 2, -(2**60)]) for _ in range(rng.randint(0, 25))]) for i in range(8)]
     rows += [("a", "copy", rows[0][2] + [9]), ("b", "run", [7] * 30), ("b", "none", [])]
