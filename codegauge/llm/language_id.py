@@ -61,6 +61,8 @@ def _grams(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     b = np.where(_LETTER[buf], buf, 32).astype(np.uint32)
     b1, b2 = np.full_like(b, 32), np.full_like(b, 32)
     b1[:-1], b2[:-2] = b[1:], b[2:]
+    ends = starts[1:] - 1  # the space behind each text; what follows it isn't the text's
+    b1[ends] = b2[ends] = b2[ends[ends > 0] - 1] = 32
     two = ((b << np.uint32(8) | b1) * np.uint32(2654435761)) >> np.uint32(20)
     three = ((b << np.uint32(16) | b1 << np.uint32(8) | b2) * np.uint32(2246822519)) >> np.uint32(20)
     return two.astype(np.int64), three.astype(np.int64) + CELLS // 2, starts

@@ -131,3 +131,15 @@ def test_rules_as_columns_score_as_the_arrays_do(spark):
     model = quality.learn(x, (x[:, 0] + x[:, 3] > 1).astype(float))
     df = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"{c} double" for c in quality.STATISTICS))
     assert model.rules and np.allclose([r.s for r in df.select(model.column().alias("s")).collect()], model.scores(x))
+
+
+def test_margins_of_a_batch_are_those_of_each_text():
+    """By the product of features and weights, whatever texts lie beside one."""
+    rng = random.Random(13)
+    rows = ["", "a", "ab", "Zé漢", "  ", *("".join(rng.choice("abc dé\n") for _ in range(rng.randint(0, 90))) for _ in range(120))]
+    rows = [r.encode() for r in rows]
+    weights = np.random.default_rng(5).normal(size=(3, language_id.CELLS + 1)).astype(np.float32)
+    model = language_id.Model([], [], weights=weights)
+    want = language_id.features(rows).astype(float) @ weights.T.astype(float)
+    assert np.allclose(model.margins(rows), want, atol=1e-3)
+    assert np.allclose(model.margins(rows[::-1])[::-1], want, atol=1e-3)
