@@ -36,11 +36,11 @@ SHARD_TOKENS = 1 << 20
 BLOCK = 256
 #: Rows of whole windows are numbered from here; a shard's from shard * 2^32.
 WHOLE = 1 << 62
-IDS, LENGTHS = np.dtype("<u2"), np.dtype("<i4")
+IDS = np.dtype("<u2")
 
 _ROW = "sequence_id long, doc_ids array<long>, starts array<long>, cu_seqlens array<int>, ids binary, positions binary"
 _ROW_KINDS = {"sequence_id": pa.int64(), "doc_ids": pa.list_(pa.int64()), "starts": pa.list_(pa.int64()), "cu_seqlens": pa.list_(pa.int32()), "ids": pa.binary(), "positions": pa.binary()}
-_MATRIX = "n_rows int, sequence_ids array<long>, ids binary, positions binary, cu_seqlens binary, n_segments array<int>, doc_ids array<long>, starts array<long>"
+_MATRIX = "n_rows int, sequence_ids array<long>, ids binary, positions binary, cu_seqlens array<array<int>>, doc_ids array<array<long>>, starts array<array<long>>"
 
 
 @lru_cache(maxsize=2)
@@ -161,24 +161,20 @@ def sequences(docs: DataFrame, path: str = RANKS, end: int = END, window: int =
 
 
 def matrices(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """n_rows, sequence_ids, ids and positions (n_rows x window, 16-bit), cu_seqlens (32-bit, all rows'), n_segments, doc_ids and starts of each block of rows; no shuffle."""
+    """n_rows, ids and positions (n_rows x window, 16-bit), and for each row its sequence_id, cu_seqlens, doc_ids and starts, of each block of rows; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, block):
                 part = b.slice(i, block)
-                lens = part.column("cu_seqlens").to_pylist()
                 yield pa.record_batch(
                     {
                         "n_rows": pa.array([part.num_rows], pa.int32()),
                         "sequence_ids": pa.array([part.column("sequence_id").to_pylist()], pa.list_(pa.int64())),
                         "ids": pa.array([b"".join(part.column("ids").to_pylist())], pa.binary()),
                         "positions": pa.array([b"".join(part.column("positions").to_pylist())], pa.binary()),
-                        "cu_seqlens": pa.array([np.concatenate([np.array(x, LENGTHS) for x in lens]).tobytes()], pa.binary()),
-                        "n_segments": pa.array([[len(x) - 1 for x in lens]], pa.list_(pa.int32())),
-                        "doc_ids": pa.array([[d for x in part.column("doc_ids").to_pylist() for d in x]], pa.list_(pa.int64())),
-                        "starts": pa.array([[d for x in part.column("starts").to_pylist() for d in x]], pa.list_(pa.int64())),
                     }
+                    | {c: pa.array([part.column(c).to_pylist()], pa.list_(_ROW_KINDS[c])) for c in ("cu_seqlens", "doc_ids", "starts")}
                 )
 
     return in_arrow(rows, run, _MATRIX)
@@ -191,16 +187,24 @@ def rows_of(blocks: DataFrame) -> DataFrame:
         for b in batches:
             for r in b.to_pylist():
                 ids, positions = (np.frombuffer(r[c], IDS).reshape(r["n_rows"], -1) for c in ("ids", "positions"))
-                cu, at, seg = np.frombuffer(r["cu_seqlens"], LENGTHS), 0, 0
-                rows = []
-                for k, n in enumerate(r["n_segments"]):
-                    rows.append((r["sequence_ids"][k], r["doc_ids"][seg : seg + n], r["starts"][seg : seg + n], cu[at : at + n + 1].tolist(), ids[k].tobytes(), positions[k].tobytes()))
-                    at, seg = at + n + 1, seg + n
+                rows = [(r["sequence_ids"][k], r["doc_ids"][k], r["starts"][k], r["cu_seqlens"][k], ids[k].tobytes(), positions[k].tobytes()) for k in range(r["n_rows"])]
                 yield pa.record_batch({c: pa.array([x[i] for x in rows], t) for i, (c, t) in enumerate(_ROW_KINDS.items())})
 
     return in_arrow(blocks, run, _ROW)
 
 
+def digests(blocks: DataFrame) -> DataFrame:
+    """The rows of matrices, with CRC-32s in the place of ids and positions: column expressions alone."""
+    wide = F.floor(F.length("ids") / F.col("n_rows")).cast("int")
+
+    def row(k):
+        crc = [F.crc32(F.substring(c, k * wide + 1, wide)).alias(f"{c}_crc32") for c in ("ids", "positions")]
+        lens = F.get("cu_seqlens", k)
+        return F.struct(F.get("sequence_ids", k).alias("sequence_id"), F.get("doc_ids", k).alias("doc_ids"), F.get("starts", k).alias("starts"), lens.alias("cu_seqlens"), F.element_at(lens, -1).alias("n_tokens"), *crc)
+
+    return blocks.select(F.inline(F.transform(F.sequence(F.lit(0), F.col("n_rows") - 1), row)))
+
+
 def write_matrices(docs: DataFrame, path: str, **options) -> None:
     """The packed corpus as a table of matrices."""
     matrices(sequences(docs, **options)).write.option("compression", "zstd").parquet(path)
@@ -210,5 +214,4 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each packed sequence with its documents, and digests of its ids and positions, taken from the matrices that were written."""
     at = scratch(spark, "output-matrices")
     write_matrices(read_table(spark, sf_dir, "documents"), at)
-    rows = rows_of(spark.read.schema(_MATRIX).parquet(at))
-    return rows.select("sequence_id", "doc_ids", "starts", "cu_seqlens", F.element_at("cu_seqlens", -1).alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), F.crc32("positions").alias("positions_crc32"))
+    return digests(spark.read.schema(_MATRIX).parquet(at))

@@ -66,12 +66,13 @@ def test_matrices(spark, docs, odd, tmp_path):
     assert sum(b.n_rows for b in blocks) == len(rows)
     for b in blocks:
         ids = np.frombuffer(b.ids, "<u2").reshape(b.n_rows, 128)
-        cu = np.split(np.frombuffer(b.cu_seqlens, "<i4"), np.cumsum([n + 1 for n in b.n_segments])[:-1])
-        assert all(c[0] == 0 for c in cu) and ids.shape == np.frombuffer(b.positions, "<u2").reshape(b.n_rows, 128).shape
+        assert all(c[0] == 0 for c in b.cu_seqlens) and ids.shape == np.frombuffer(b.positions, "<u2").reshape(b.n_rows, 128).shape
     stacked = sorted(zlib.crc32(np.frombuffer(b.ids, "<u2").reshape(b.n_rows, 128)[k].tobytes()) for b in blocks for k in range(b.n_rows))
     assert stacked == sorted(zlib.crc32(r.ids) for r in rows.values())
     back = {r.sequence_id: r for r in op.rows_of(spark.read.parquet(str(tmp_path / "m"))).collect()}
     assert {k: (sorted(map(str, r.doc_ids)), r.cu_seqlens[-1], bytes(r.positions)) for k, r in back.items()} == {k: (sorted(map(str, r.doc_ids)), r.cu_seqlens[-1], bytes(r.positions)) for k, r in rows.items()}
+    plain = {k: (r.doc_ids, r.starts, r.cu_seqlens, r.cu_seqlens[-1], zlib.crc32(r.ids), zlib.crc32(r.positions)) for k, r in back.items()}
+    assert {r.sequence_id: tuple(r)[1:] for r in op.digests(spark.read.parquet(str(tmp_path / "m"))).collect()} == plain
     encode = op.encoding(op.RANKS).encode_ordinary
     check(back.values(), {i: [*encode(t or ""), op.END] for i, t, _ in odd[:9]}, 128)
 
