@@ -194,15 +194,9 @@ def rows_of(blocks: DataFrame) -> DataFrame:
 
 
 def digests(blocks: DataFrame) -> DataFrame:
-    """The rows of matrices, with CRC-32s in the place of ids and positions: column expressions alone."""
-    wide = F.floor(F.length("ids") / F.col("n_rows")).cast("int")
-
-    def row(k):
-        crc = [F.crc32(F.substring(c, k * wide + 1, wide)).alias(f"{c}_crc32") for c in ("ids", "positions")]
-        lens = F.get("cu_seqlens", k)
-        return F.struct(F.get("sequence_ids", k).alias("sequence_id"), F.get("doc_ids", k).alias("doc_ids"), F.get("starts", k).alias("starts"), lens.alias("cu_seqlens"), F.element_at(lens, -1).alias("n_tokens"), *crc)
-
-    return blocks.select(F.inline(F.transform(F.sequence(F.lit(0), F.col("n_rows") - 1), row)))
+    """The rows of matrices, with CRC-32s in the place of ids and positions."""
+    crc = [F.crc32(c).alias(f"{c}_crc32") for c in ("ids", "positions")]
+    return rows_of(blocks).select("sequence_id", "doc_ids", "starts", "cu_seqlens", F.element_at("cu_seqlens", -1).alias("n_tokens"), *crc)
 
 
 def write_matrices(docs: DataFrame, path: str, **options) -> None:
