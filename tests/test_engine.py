@@ -1,5 +1,6 @@
 import json
 import os
+import random
 import subprocess
 import sys
 
@@ -171,3 +172,22 @@ def test_nothing_else_imports_the_corpus_part():
 def test_files_are_parsed_once(spark):
     plan = score.analyze(corpus_of(spark), "java")._jdf.queryExecution().toString()
     assert "MapInArrow" not in plan  # the facts are read from the checkpoint folder
+
+
+def test_gates_met_exactly(spark, tmp_path):
+    """Means of 0.5 (A) and 0.4 (N), or a millionth below, whatever the order of the lines; sums of doubles miss 0.5 and 0.4 in some orders."""
+    scores = [(0.1, 0.01), (0.07, 0.08), (0.03, 0.04), (0.06, 0.05), (0.02, 0.0), (0.01, 0.06), (0.09, 0.02), (0.04, 0.07), (0.08, 0.03)] * 3
+    rows = []
+    for k in range(40):
+        for flag, goal in (("A", 50), ("N", 40)):
+            mine = random.Random(k).sample(scores, len(scores))
+            rest = goal * (len(mine) + 1) - sum(round(1000 * d) - round(100 * t) for d, t in mine)
+            rows += [(k, d, t, flag) for d, t in [*mine, (rest / 1000 - (k % 2) * 1e-6, 0.0)]]
+    rows += [(90, None, 0.0, "A"), (91, float("inf"), 0.0, "N")]
+    spark.createDataFrame(rows, "l_suppkey long, l_discount double, l_tax double, l_returnflag string").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {int(r.codebase): (r.passed, r.n_passed, r.n_failed) for r in queries.quality_gates(spark, str(tmp_path)).collect()}
+    oracle = duckdb.connect()
+    oracle.execute(f"CREATE VIEW lineitem AS FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    odd = {int(k): tuple(v) for k, *v in oracle.execute(queries.GATES_SQL).fetchall() if int(k) >= 90}
+    assert {k: got.pop(k) for k in odd} == odd and set(odd) == {90, 91}
+    assert got == {k: (True, 3, 0) if k % 2 == 0 else (False, 1, 2) for k in range(40)}
