@@ -51,8 +51,9 @@ def within(outer: DataFrame, inner: DataFrame, keys: list[str], start: str = "st
 
     a, b = spans(outer, 1), spans(inner, 0)
     total = b.count()
-    sizes = b.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_s", [i / SLICES for i in range(1, SLICES)], 10_000).alias("_cuts"))
-    cuts = checkpointed(sizes.where(F.col("_n") > max(SLICES, total // HOT)).select(*names, "_cuts"))  # fewer than HOT rows
+    hot = checkpointed(b.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max(SLICES, total // HOT)).select(*names))  # fewer than HOT rows
+    quantiles = F.percentile_approx("_s", [i / SLICES for i in range(1, SLICES)], 10_000)
+    cuts = checkpointed(b.join(F.broadcast(hot), names, "left_semi").groupBy(*names).agg(quantiles.alias("_cuts")))
 
     def slice_of(at: Column) -> Column:
         return F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c < at)))

@@ -1,10 +1,12 @@
 """Containment joins, repeats, bounded ranking and dealing of files, against plain versions."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from codegauge import code_queries
 from codegauge.operators import containment, facts, repeats, shared
 from codegauge.operators.ranking import ranked
 from codegauge.sources import kotlin
@@ -114,3 +116,28 @@ def test_files_are_dealt_by_bytes(spark):
     assert sum(r.files for r in tasks) == len(rows) and sorted(r.files for r in tasks if r.bytes >= 100_000) == [1] * 5
     assert len(small) >= 2 * spark.sparkContext.defaultParallelism and max(r.bytes for r in small) < 2 * min(r.bytes for r in small)
     assert facts.dealt(src.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("query, parser", [("code_smells", "extract"), ("nodes_within", "nodes")])
+def test_one_content_is_parsed_once(spark, tmp_path, monkeypatch, query, parser):
+    """Parts of equal shapes make equal files: many codebases, few contents, and the rows of each part by itself."""
+    seen, parse = [], getattr(facts, parser)
+    monkeypatch.setattr(facts, parser, lambda sources: seen.append(sources.count()) or parse(sources))
+    same = 60 * 7 * 13 * 512  # keys that differ by it make the same shapes
+    for folder, copies in (("one", 1), ("many", 20)):
+        rows = [(k + same * c, f"b{k}", k + 3) for k in (1, 5, 44) for c in range(copies)]
+        spark.createDataFrame(rows, "p_partkey long, p_brand string, p_size int").write.parquet(f"{tmp_path}/{folder}/part.parquet")
+    one, many = (code_queries.QUERIES[query](spark, f"{tmp_path}/{folder}").collect() for folder in ("one", "many"))
+    assert seen[0] == seen[1] <= 6
+    by = Counter(tuple(r)[1:] for r in one)
+    assert one and Counter(tuple(r)[1:] for r in many) == Counter({k: 20 * n for k, n in by.items()})
+    assert {r.codebase for r in one} < {r.codebase for r in many} and len(many) == 20 * len(one)
+
+
+def test_by_content_of_odd_rows(spark):
+    """Null codebases, sources and paths, and repeated rows: as without it."""
+    rows = [("a", "A.java", "java", "class A {}"), ("a", "A.java", "java", "class A {}"), (None, "A.java", "java", "class A {}"), (None, "B.java", "java", None), ("b", "B.java", "java", ""), ("b", "A.kt", "kotlin", "class A"), ("c", "A.java", "java", "class {")]
+    src = spark.createDataFrame(rows, "codebase string, path string, lang string, source string")
+    plain = lambda df: Counter(str(r.asDict(recursive=True)) for r in df.collect())
+    assert plain(facts.by_content(src, facts.extract)) == plain(facts.extract(src))
+    assert facts.by_content(src.limit(0), facts.extract).count() == 0
