@@ -2,7 +2,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from codegauge.llm import common
 from codegauge.llm import components as cc
 from codegauge.llm import near_dedup as op
 
@@ -124,3 +126,17 @@ def test_components(spark):
     found = cc.components(spark.createDataFrame(edges, "u long, v long")).collect()
     assert {r.node: r.component for r in found} == {x: find(x) for x in root} and len(found) == len(root)
     assert cc.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["long", "binary"])
+def test_rows_of_hot_groups(spark, monkeypatch, kind):
+    """Rows meet their groups, hot or not, as by a plain join, and no join but those with the groups passes over all rows."""
+    monkeypatch.setattr(common, "HOT", 16)
+    rng = random.Random(4)
+    keys = [rng.choice([1, 1, 1, 2, *range(3, 40)]) for _ in range(600)] + [None] * 5
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i long").withColumn("k", F.col("k").cast("string").cast(kind))
+    groups = common.written(rows.where("i % 5 > 0 AND k IS NOT NULL").groupBy("k").agg(F.count(F.lit(1)).alias("m")), "test-groups")
+    out = common.spread_join(rows, groups, "k", "m")
+    assert sorted((bytes(r.k) if kind == "binary" else r.k, r.i, r.m) for r in out.collect()) == sorted((bytes(r.k) if kind == "binary" else r.k, r.i, r.m) for r in rows.join(groups, "k").collect())
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and plan.count("Join Inner") == 2
